@@ -161,3 +161,36 @@ def encode_chunks(raw: np.ndarray, start: np.ndarray, end: np.ndarray, encode: C
     count = size[which]
     _, place = ragged(count)
     return flat[np.repeat(base[which], count) + place], count
+
+
+def slices(column: pa.Array, limit: int = 8 << 20) -> list[tuple[int, int]]:
+    """Row ranges of at most `limit` bytes of text each; a longer text is a range of its own."""
+    at = utf8(column)[1]
+    out, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An Arrow list column of rows of these lengths."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def with_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
+    """The batch with these columns at its end; columns of the same names are replaced."""
+    keep = [i for i, n in enumerate(batch.schema.names) if n.lower() not in new]
+    return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(new.values()), [batch.schema.names[i] for i in keep] + list(new))
+
+
+def out_schema(df, **new: str):
+    """The schema that with_columns() gives: the columns of `df`, then these, as Spark type names."""
+    from pyspark.sql.types import DataType, StructType
+
+    s = StructType([f for f in df.schema.fields if f.name.lower() not in new])
+    for name, kind in new.items():
+        s = s.add(name, DataType.fromDDL(kind))
+    return s
