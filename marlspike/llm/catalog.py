@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sentence_pieces, token_counts, url_filter
+from . import chat, mixing, quality, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op9_sentencepiece": sentence_pieces.op9_sentencepiece,
 }
