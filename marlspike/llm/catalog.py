@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neighbours, quality, sentence_pieces, token_counts, url_filter
+from . import chat, language, mixing, neighbours, quality, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_language_id": language.op6_language_id,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_mixing": mixing.op8_mixing,
     "op9_sentencepiece": sentence_pieces.op9_sentencepiece,
