@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, neighbours, quality, sentence_pieces, token_counts, url_filter
+from . import chat, language, mixing, neighbours, quality, sentence_pieces, substrings, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_language_id": language.op6_language_id,
     "op7_neighbours": neighbours.op7_neighbours,
