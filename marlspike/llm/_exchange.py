@@ -18,7 +18,7 @@ from ._bytes import Words, find_words, lowered, span_hashes, utf8
 from ._shared import partitions
 
 GROUP_BYTES = 4 << 20
-LOW = np.uint64((1 << 40) - 1)
+LOW = np.uint64((1 << 32) - 1)
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -48,29 +48,26 @@ class Group:
 
 
 def composite(key: np.ndarray, bucket_of: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the high 24 bits, 40 bits of the key below: sorted, the keys of a bucket lie together."""
-    return ((bucket_of % U(buckets)) << U(40)) | (key & LOW)
+    """Bucket above, 32 bits of the key below: sorted, the keys of a bucket lie together.
+
+    There are as many buckets as groups, so a bucket's share of 2^32 stays about 1 in 10,000 at any size. Keys
+    that fall together by chance only make a few more candidates.
+    """
+    return ((bucket_of % U(buckets)) << U(32)) | (key & LOW)
 
 
 def pack(codes: np.ndarray, g: int) -> pa.Table:
-    """Rows (b, g, keys) of sorted distinct codes, five bytes a key."""
-    b = (codes >> U(40)).astype(np.int64)
+    """Rows (b, g, keys) of sorted distinct codes, four bytes a key."""
+    b = (codes >> U(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    five = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    low = (codes & LOW).astype("<u4").tobytes()
     last = np.append(first[1:], len(b))
-    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([five[5 * i : 5 * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
+    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([low[4 * i : 4 * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
 
 
 def answer_counts(key: tuple, table: pa.Table) -> pa.Table:
     """For each group of a bucket, in how many groups each of its keys is: one byte a key, 255 for as many or more."""
-    blobs = [unpack(x.as_buffer()) for x in table["keys"]]
+    blobs = [np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]]
     size = np.array([len(x) for x in blobs])
     _, which, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
     seen = np.minimum(count, 255).astype(np.uint8)[which].tobytes()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, neighbours, quality, sentence_pieces, substrings, token_counts, url_filter
+from . import chat, language, mixing, neighbours, ngram_join, quality, sentence_pieces, substrings, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": language.op6_language_id,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_mixing": mixing.op8_mixing,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
     "op9_sentencepiece": sentence_pieces.op9_sentencepiece,
 }
 
