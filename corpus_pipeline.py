@@ -1,11 +1,59 @@
-"""The corpus pipeline: stages over documents, each fed with what the one before kept."""
+"""The corpus pipeline: stages over documents, each fed with what the one before kept.
 
-STAGES = []
+Every stage takes and returns the columns of documents; the last adds the token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlspike.llm import language, mixing, ngram_join, sentence_pieces, substrings
+from marlspike.llm._shared import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents found to be in a language of the model, by text, declared language and source."""
+    found = language.identify(docs, language.fit(docs), "text", F.col("lang"), F.col("source"))
+    return found.where("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by the Jaccard similarity of their 2-word shingles."""
+    return ngram_join.one_of_each(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that begin earlier; a document of which nothing is left goes."""
+    out = substrings.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources to their target weights: a row for each lap over a document that the mix takes."""
+    out = mixing.mix_sources(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ids, n_tokens and round_trip."""
+    return sentence_pieces.encode(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("mixture", mixture),
+    ("sentencepiece", token_ids),
+]
+
+#: SQL can express neither the language model nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if not i else written(docs, name), sf_dir)
     return docs

@@ -25,6 +25,7 @@ MEMBERS = 256  # of a block, at most
 SALTS = 16  # that sets of one minimum hash are spread over
 PAIRS = 1 << 21  # posting pairs looked at in one step
 EPS = 1e-9
+BROADCAST_ROWS = 200_000  # keys of 16 bytes that are broadcast at most
 
 
 class Sets:
@@ -64,19 +65,19 @@ class Sets:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, groups: int, size: int) -> DataFrame:
-    """(g, id, n, fp) of every row: its group, the size of its set and the print of it."""
+    """(g, id, h, n, fp) of every row: its group, a hash of its text, the size of its set and the print of it."""
     g = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), groups).cast("int")
-    rows = docs.select(g.alias("g"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(g.alias("g"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo, hi in slices(whole.column(2), 4 << 20):
+            for lo, hi in slices(whole.column(3), 4 << 20):
                 part = whole.slice(lo, hi - lo)
-                raw, at = utf8(part.column(2))
+                raw, at = utf8(part.column(3))
                 s = Sets(find_words(lowered(raw), at), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.n), pa.array(s.prints(), pa.binary())], names=["g", "id", "n", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], pa.array(s.n), pa.array(s.prints(), pa.binary())], names=["g", "id", "h", "n", "fp"])
 
-    return rows.mapInArrow(run, "g int, id long, n long, fp binary")
+    return rows.mapInArrow(run, "g int, id long, h long, n long, fp binary")
 
 
 class Representatives(Group):
@@ -397,21 +398,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, radius: float = RADIUS) -> DataFrame:
-    """(doc_id, n_shingles, n_similar, component_id) for every row of `docs`.
-
-    A document's set is its distinct shingles of `size` words, A-Z lower-cased; a shorter text is one shingle as
-    a whole, and a text without words has no set. Two documents link if 100 * intersection >= percent * union.
-    n_similar counts the other documents linked to this one, component_id is the smallest id reachable by links.
-
-    Documents with equal sets are one class and are counted, not paired. The join is exact: sets without enough
-    tokens that others share are out, the rest lie in blocks of at most MEMBERS within `radius` of a leader, and
-    only blocks whose leaders meet in their prefixes are looked at. No list, group or pair count is capped.
-
-    A null text or one without words: size 0, no links, its own component. Null ids are documents too, and never
-    the smallest id unless all of a component are null. Repeated rows are documents of their own. Other columns
-    are not read. An empty table gives an empty result.
-    """
+def joined(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, radius: float) -> DataFrame:
+    """(id, h, n, n_similar, component_id, root) of every row; root names its component, null for an empty set."""
     t, groups = grouped(docs, doc_id, text, [])
     d = written(describe(docs, doc_id, text, groups, size), "sets")
     classes = written(d.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.min("g").alias("g")), "classes")
@@ -432,10 +420,46 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     roots = components(found.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v")))
     member = classes.select("fp", "copies", "first_id").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(smallest, "root").join(linked, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
-    empty = F.col("n") == 0
-    out = d.join(member, "fp", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(empty, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    member = member.join(smallest, "root").join(linked, "fp", "left").select("fp", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
+    return d.join(member, "fp", "left").select("id", "h", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, radius: float = RADIUS) -> DataFrame:
+    """(doc_id, n_shingles, n_similar, component_id) for every row of `docs`.
+
+    A document's set is its distinct shingles of `size` words, A-Z lower-cased; a shorter text is one shingle as
+    a whole, and a text without words has no set. Two documents link if 100 * intersection >= percent * union.
+    n_similar counts the other documents linked to this one, component_id is the smallest id reachable by links.
+
+    Documents with equal sets are one class and are counted, not paired. The join is exact: sets without enough
+    tokens that others share are out, the rest lie in blocks of at most MEMBERS within `radius` of a leader, and
+    only blocks whose leaders meet in their prefixes are looked at. No list, group or pair count is capped.
+
+    A null text or one without words: size 0, no links, its own component. Null ids are documents too, and never
+    the smallest id unless all of a component are null. Repeated rows are documents of their own. Other columns
+    are not read. An empty table gives an empty result.
+    """
+    out = joined(docs, text, doc_id, size, percent, radius)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_similar", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, radius: float = RADIUS) -> DataFrame:
+    """The rows of `docs` but for the documents linked to one that stays: one of each component, with all columns.
+
+    The smallest id stays, null ids last, of equal ids the smaller hash of the text, and of rows that repeat id
+    and text one. Documents without words are linked with nothing and stay. What goes is small beside the texts:
+    its keys are broadcast below BROADCAST_ROWS and joined by a shuffle beyond that.
+    """
+    d = written(joined(docs, text, doc_id, size, percent, radius).where("root is not null").groupBy("root", "id", "h").agg(F.count("*").alias("rows")), "members")
+    first = d.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    d = d.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    d = written(d.where("not stays or rows > 1").select(F.col("id").alias("key_id"), F.col("h").alias("key_h"), "stays"), "leaving")
+    if d.count() <= BROADCAST_ROWS:
+        d = F.broadcast(d)
+    on = docs[doc_id].cast("long").eqNullSafe(d["key_id"]) & (F.xxhash64(docs[text]) == d["key_h"])
+    again = docs.join(d.where("stays"), on, "left_semi")
+    again = again.withColumn("key_h", F.xxhash64(text)).dropDuplicates([doc_id, "key_h"]).drop("key_h")
+    return docs.join(d, on, "left_anti").unionByName(again)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
