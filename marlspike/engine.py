@@ -92,7 +92,7 @@ class Engine:
         return fn(self)
 
     def _dimension(self, new: int | None = None) -> int | None:
-        where = os.path.join(self.path, "_dimension.json")
+        where = os.path.join(self.path, "dimension.json")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(where)
         fs = p.getFileSystem(conf)
