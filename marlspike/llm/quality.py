@@ -92,17 +92,26 @@ def references(f: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float],
     return {r[lang]: (share([r[f"c{i}"] for i in range(len(CLASSES))]), share([r[f"v{i}"] for i in range(len(VOCABULARY) + 1)])) for r in rows}
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """The square root of the Jensen-Shannon divergence, base 2, of a histogram and a reference: from 0 to 1."""
+def nearest_distance(counts: Column, refs: list[list[float]]) -> Column:
+    """The smallest Jensen-Shannon distance, base 2, from a histogram to one of `refs`: 0 to 1, null for no counts.
 
-    def distance(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-        half = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
-        terms = F.zip_with(c, F.array(*map(F.lit, reference)), lambda x, q: half(x / total, (x / total + q) / 2) + half(q, (x / total + q) / 2))
-        sum_ = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-        return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), sum_ / (2 * math.log(2)))))
+    With m the mean of both, the divergence is sum(p log p)/2 + sum(q log q)/2 - sum(m log m). The first sum is
+    taken once, the second here and now, so that only the last is left for each reference.
+    """
+    plus = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    xlogx = lambda x: x * F.log(F.greatest(x, F.lit(1e-300)))
+
+    def to(p: Column, own: Column, q: list[float]) -> Column:
+        fixed = sum(x * math.log(x) for x in q if x > 0) / 2
+        both = plus(F.zip_with(p, F.array(*[F.lit(x / 2) for x in q]), lambda x, y: xlogx(x / 2 + y)))
+        return F.sqrt(F.greatest(F.lit(0.0), own / 2 + fixed - both) / math.log(2))
+
+    def least(p: Column) -> Column:
+        return bind(plus(F.transform(p, xlogx)), lambda own: F.array_min(F.array(*[to(p, own, q) for q in refs])))
 
-    return bind(counts, distance)
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
+    shares = bind(total, lambda t: F.transform(counts, lambda x: F.try_divide(x.cast("double"), t)))
+    return bind(shares, least)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:
@@ -117,12 +126,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     names = tuple(dict.fromkeys([*keep, lang]))
     f = written(features(docs, text, names), "features")
     known = references(f, lang)
-    nearest = lambda c, k: F.least(*[js_distance(F.col(c), r[k]) for r in known.values()], F.lit(1.0)) if known else F.lit(0.0)
+    nearest = lambda c, k: nearest_distance(F.col(c), [r[k] for r in known.values()]) if known else F.lit(0.0)
     chars, common = nearest("classes", 0), nearest("common", 1)
     f = f.withColumn("char_distance", chars).withColumn("word_distance", common)
     odd = (F.col("n_words") >= limits.least_words) & (F.col("word_distance") > limits.word_distance)
     odd |= (F.col("word_chars") >= limits.least_chars) & (F.col("char_distance") > limits.char_distance)
-    f = f.withColumn("kept", ~F.col("base_failed") & ~odd)
+    f = f.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
     return f.select(*[f"`{k}`" for k in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
