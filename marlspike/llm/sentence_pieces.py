@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, models, normalizers
 
@@ -126,7 +127,10 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the count of each; null and empty texts have none."""
-        raw, texts = utf8(self.normal(column))
+        column = self.normal(column)
+        if self.model.escape:  # a mark in the text itself is no other symbol than a space
+            column = pc.replace_substring(column, MARK, " ")
+        raw, texts = utf8(column)
         full = np.diff(texts) > 0
         if self.model.dummy_prefix:
             raw = np.insert(raw, texts[:-1][full], 32)
