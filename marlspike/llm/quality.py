@@ -93,7 +93,7 @@ def references(f: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float],
 
 
 def nearest_distance(counts: Column, refs: list[list[float]]) -> Column:
-    """The smallest Jensen-Shannon distance, base 2, from a histogram to one of `refs`: 0 to 1, null for no counts.
+    """The smallest Jensen-Shannon distance, base 2, from a histogram to one of `refs`: 0 to 1, and 0 for no counts.
 
     With m the mean of both, the divergence is sum(p log p)/2 + sum(q log q)/2 - sum(m log m). The first sum is
     taken once, the second here and now, so that only the last is left for each reference.

@@ -240,13 +240,16 @@ def linked_corpus():
     return rows
 
 
-@pytest.mark.parametrize("members, radius", [(256, 0.1), (3, 0.3), (256, 0.0)])
-def test_ngram_join_equals_brute_force(spark, small_groups, monkeypatch, members, radius):
+@pytest.mark.parametrize("members, gather, hot", [(256, 4096, 200), (3, 2, 200), (256, 5, 0)])
+def test_ngram_join_equals_brute_force(spark, small_groups, monkeypatch, members, gather, hot):
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "GATHER", gather)
+    monkeypatch.setattr(ngram_join, "GUESTS", 2)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "PAIRS", 50)
     rows = linked_corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_similar int")
-    got = ngram_join.similar_documents(docs, radius=radius).collect()
+    got = ngram_join.similar_documents(docs).collect()
     assert sorted(map(tuple, got)) == sorted(similar(rows))
 
 
