@@ -56,23 +56,34 @@ def composite(key: np.ndarray, bucket_of: np.ndarray, buckets: int) -> np.ndarra
     return ((bucket_of % U(buckets)) << U(32)) | (key & LOW)
 
 
-def pack(codes: np.ndarray, g: int) -> pa.Table:
-    """Rows (b, g, keys) of sorted distinct codes, four bytes a key."""
+def narrow(codes: np.ndarray) -> np.ndarray:
+    """Codes with only 24 bits of the key: a bucket's share is then about 1 in 40, still at any size."""
+    return (codes >> U(32) << U(32)) | (codes & U((1 << 24) - 1))
+
+
+def pack(codes: np.ndarray, g: int, width: int = 4) -> pa.Table:
+    """Rows (b, g, keys) of sorted distinct codes, `width` bytes a key."""
     b = (codes >> U(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    low = (codes & LOW).astype("<u4").tobytes()
+    low = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     last = np.append(first[1:], len(b))
-    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([low[4 * i : 4 * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
+    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([low[width * i : width * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
 
 
-def answer_counts(key: tuple, table: pa.Table) -> pa.Table:
+def answer_counts(width: int):
     """For each group of a bucket, in how many groups each of its keys is: one byte a key, 255 for as many or more."""
-    blobs = [np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]]
-    size = np.array([len(x) for x in blobs])
-    _, which, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    seen = np.minimum(count, 255).astype(np.uint8)[which].tobytes()
-    ends = np.cumsum(size).tolist()
-    return pa.table([table["g"], pa.array(np.full(len(size), key[0].as_py(), np.int32)), pa.array([seen[e - n : e] for e, n in zip(ends, size.tolist())], pa.binary())], names=["g", "b", "seen"])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in table["keys"]]
+        size = np.array([len(x) for x in blobs])
+        keys = np.zeros((size.sum(), 4), np.uint8)
+        keys[:, :width] = np.concatenate(blobs)
+        _, which, count = np.unique(keys.view("<u4").ravel(), return_inverse=True, return_counts=True)
+        seen = np.minimum(count, 255).astype(np.uint8)[which].tobytes()
+        ends = np.cumsum(size).tolist()
+        return pa.table([table["g"], pa.array(np.full(len(size), key[0].as_py(), np.int32)), pa.array([seen[e - n : e] for e, n in zip(ends, size.tolist())], pa.binary())], names=["g", "b", "seen"])
+
+    return run
 
 
 def in_order(table: pa.Table) -> np.ndarray:

@@ -1,8 +1,9 @@
-"""N-gram Jaccard join by set relations: skip blocks of similar sets, derive a set's answers from a similar set's.
+"""N-gram Jaccard join by set relations: skip blocks of index lists, derive a set's answers from a similar set's.
 
-Similar sets lie in blocks round a leader. Jaccard distance is a metric, so the distance of two leaders and the
-radii of their blocks decide whole blocks at once: all pairs, none, or a closer look. There the overlaps of a
-member follow from those of its leader and the few tokens in which the two differ.
+Sets that share a minimum hash lie in one block, and index lists hold blocks, sorted by size of set, so that a
+posting looks at one stretch of its list. Jaccard distance is a metric: the distance of two leaders and the radii
+of their blocks decide all pairs of two blocks, none, or a closer look. There the overlaps of a member follow
+from those of its leader and the few tokens in which the two differ.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import find_words, lowered, mix, ragged, slices, utf8, windows
-from ._exchange import Group, U, answer_counts, composite, grouped, in_order, pack
+from ._exchange import LAST, Group, U, answer_counts, composite, grouped, in_order, narrow, pack
 from ._shared import partitions, written
 
 SHINGLE = 2
 PERCENT = 60
-RADIUS = 0.1  # of a block, at most
+BEYOND = 0.05  # share of a set that its prefix is longer than it must be, so that one common token is not enough
 MEMBERS = 256  # of a block, at most
-SALTS = 16  # that sets of one minimum hash are spread over
+COMMON = 50  # a token that one in so many sets of a group holds does not tell similar sets
+GATHER = 4096  # sets that hang together and are looked at in one task
+GUESTS = 2048  # sets that else meet a block in one task, about
+HOT, SALTS = 200, 64  # a minimum hash that so many groups hold is spread over so many tasks
 PAIRS = 1 << 21  # posting pairs looked at in one step
 EPS = 1e-9
-BROADCAST_ROWS = 200_000  # keys of 16 bytes that are broadcast at most
+BROADCAST_ROWS = 400_000  # keys of some 60 bytes that are broadcast at most
 
 
 class Sets:
@@ -97,47 +101,58 @@ class Representatives(Group):
 
     def codes(self, buckets: int) -> np.ndarray:
         k = mix(self.token)
-        return composite(k, k >> U(40), buckets)
+        return narrow(composite(k, k >> U(40), buckets))
 
 
 def survivors(t: DataFrame, reps: DataFrame, groups: int, size: int, percent: int) -> DataFrame:
-    """(fp, n, copies, lead, tokens, rank) of the sets that may have a partner.
+    """(fp, n, copies, lead, salt, behind, tokens) of the sets that may have a partner.
 
     Only tokens that other sets hold too can be in an intersection, so a set with fewer than `percent` % of them
-    is alone. Those tokens are kept, the rarest first by the number of groups that hold them (`rank`), then by
-    hash: one order for all. `lead` is the minimum of a second hash, by which similar sets come together.
+    is alone. The others are ordered by the number of groups that hold them, the rarest first, then by hash: one
+    order for all. `tokens` are those in the prefix of the set, `behind` counts the rest. `lead` is of the two
+    least hashes over the tokens that few sets of the group hold, by which similar sets come together.
     """
 
     def send(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         if not own.num_rows:
-            return pack(np.zeros(0, U), 0)
-        return pack(np.unique(Representatives(table, own["fp"].to_pylist(), size).codes(groups)), key[0].as_py())
+            return pack(np.zeros(0, U), 0, 3)
+        return pack(np.unique(Representatives(table, own["fp"].to_pylist(), size).codes(groups)), key[0].as_py(), 3)
 
     def choose(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["fp", "n", "copies", "lead", "tokens", "rank"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["fp", "n", "copies", "lead", "salt", "behind", "tokens"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         own = right.filter(right["fp"].is_valid())
-        if not own.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        r = Representatives(table, own["fp"].to_pylist(), size)
-        _, which, count = np.unique(r.codes(groups), return_inverse=True, return_counts=True)
-        seen = in_order(right.filter(right["seen"].is_valid()).select(["b", "seen"]))
-        shared, rank = ((seen > 1) | (count > 1))[which], seen[which]
-        have = np.bincount(r.row[shared], minlength=len(r.n))
-        lead = np.full(len(r.n), np.iinfo(np.int64).max)
-        np.minimum.at(lead, r.row, (mix(r.token * U(3)) >> U(1)).astype(np.int64))
-        may = np.flatnonzero((have > 0) & (100 * have >= percent * r.n))
-        use = np.flatnonzero(shared & np.isin(r.row, may))
-        use = use[np.lexsort((r.token[use], rank[use], r.row[use]))]
-        at = np.searchsorted(r.row[use], np.arange(len(r.n) + 1))
-        token, rank, copies = r.token[use], rank[use], own["copies"].to_pylist()
-        rows = [(r.prints[i], int(r.n[i]), copies[i], int(lead[i]), token[at[i] : at[i + 1]].tobytes(), rank[at[i] : at[i + 1]].tobytes()) for i in may.tolist()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+        rows = []
+        if own.num_rows:
+            r = Representatives(table, own["fp"].to_pylist(), size)
+            _, which, count = np.unique(r.codes(groups), return_inverse=True, return_counts=True)
+            seen = in_order(right.filter(right["seen"].is_valid()).select(["b", "seen"]))
+            shared, rank = ((seen > 1) | (count > 1))[which], seen[which]
+            use = np.flatnonzero(shared)
+            use = use[np.lexsort((r.token[use], rank[use], r.row[use]))]
+            at = np.searchsorted(r.row[use], np.arange(len(r.n) + 1))
+            token, rank, copies = r.token[use], rank[use], own["copies"].to_pylist()
+            plain = (mix(token * U(3)) >> U(1)).astype(np.int64)
+            common = count[which][use] > max(8, len(r.n) // COMMON)
+            hashed = np.where(common, LAST, plain)
+            for i in np.flatnonzero(100 * np.diff(at) >= percent * r.n).tolist():
+                mine, n = slice(at[i], at[i + 1]), int(r.n[i])
+                have = at[i + 1] - at[i]
+                take = n - -(-n * percent // 100) + 1 + int(BEYOND * n) - (n - have)
+                if take > 0:
+                    # two minima must agree, or sets that share one common token would lie in a block
+                    own_hashes = hashed[mine] if (hashed[mine] < LAST).sum() > 1 else plain[mine]
+                    least = np.argpartition(own_hashes, 1)[:2] if have > 1 else np.zeros(1, np.int64)
+                    lead = int(np.sort(own_hashes[least])[0] ^ (np.sort(own_hashes[least])[-1] >> 1))
+                    k = at[i] + int(least[own_hashes[least].argmin()])
+                    salt = r.prints[i][0] % SALTS if rank[k] >= HOT else 0
+                    rows.append((r.prints[i], n, copies[i], lead, salt, int(max(0, have - take)), token[mine][:take].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
     sent = t.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(send, "b int, g int, keys binary")
-    answers = sent.groupBy("b").applyInArrow(answer_counts, "g int, b int, seen binary")
+    answers = sent.groupBy("b").applyInArrow(answer_counts(3), "g int, b int, seen binary")
     right = answers.unionByName(reps, allowMissingColumns=True)
-    return t.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(choose, "fp binary, n long, copies long, lead long, tokens binary, rank binary")
+    return t.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(choose, "fp binary, n long, copies long, lead long, salt int, behind long, tokens binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,162 +162,130 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-BLOCK = "fp binary, radius double, n long, smallest long, largest long, members int, prefix binary, before long, prints binary, sizes binary, copies binary, counts binary, tokens binary"
+BLOCK = "bid long, members int, smallest long, largest long, behind long, prints binary, sizes binary, copies binary, tokens binary"
 
 
-def build_blocks(percent: int, radius: float):
-    """Sets in the order of (lead, salt) to blocks round leaders: a set joins the first leader within `radius`."""
+def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets in the order of (lead, salt) to blocks of one lead: tokens are those that some member has in its prefix."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+    names = [x.split()[0] for x in BLOCK.split(", ")]
 
-    def row(block: dict) -> tuple:
-        order = block["order"]
-        return (
-            block["prints"][0], block["radius"], block["sizes"][0], min(block["sizes"]), max(block["sizes"]), len(block["sizes"]),
-            order.tobytes(), block["sizes"][0] - len(order), b"".join(block["prints"]),
-            np.array(block["sizes"], "<i8").tobytes(), np.array(block["copies"], "<i8").tobytes(), np.array([len(x) for x in block["tokens"]], "<i8").tobytes(), np.concatenate(block["tokens"]).tobytes(),
-        )
+    def row(held: list[tuple]) -> tuple:
+        prints, sizes, copies, behind, tokens = zip(*held)
+        bid = int.from_bytes(prints[0][:8], "little", signed=True)
+        token = np.frombuffer(tokens[0], "<u8") if len(tokens) == 1 else np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in tokens]))
+        return bid, len(held), min(sizes), max(sizes), max(behind), b"".join(prints), np.array(sizes, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), token.tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()] + [pa.binary()] * 5
-        names = [x.split()[0] for x in BLOCK.split(", ")]
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        open_: list[dict] = []
-        key, done = None, []
-        for batch in batches:
-            for fp, n, copies, lead, salt, tokens in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                if (lead, salt) != key:
-                    done += map(row, open_)
-                    key, open_ = (lead, salt), []
-                order = np.frombuffer(tokens, "<u8")
-                own = np.sort(order)
-                for block in open_[-8:]:
-                    both = overlap(own, block["tokens"][0])
-                    distance = 1 - both / (n + block["sizes"][0] - both)
-                    if distance <= radius and len(block["sizes"]) < MEMBERS:
-                        block["radius"] = max(block["radius"], distance)
-                        for k, v in (("prints", fp), ("sizes", n), ("copies", copies), ("tokens", own)):
-                            block[k].append(v)
-                        break
-                else:
-                    open_.append({"order": order, "radius": 0.0, "prints": [fp], "sizes": [n], "copies": [copies], "tokens": [own]})
-                    if len(open_) > 64:
-                        done.append(row(open_.pop(0)))
-            if done:
-                yield out(done)
-                done = []
-        done = list(map(row, open_))
+    key, held = None, []
+    for batch in batches:
+        done = []
+        for lead, salt, *one in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+            if held and ((lead, salt) != key or len(held) == MEMBERS):
+                done.append(row(held))
+                held = []
+            key = (lead, salt)
+            held.append(tuple(one))
         if done:
-            yield out(done)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(row(held)), kinds)], names=names)
 
-    return run
 
+def members_of(blocks: DataFrame) -> DataFrame:
+    """(bid, fp, n, copies) of every member of every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bid, prints, sizes, copies = [batch.column(i) for i in range(4)]
+            sizes, copies = [np.frombuffer(b"".join(x.to_pylist()), "<i8") for x in (sizes, copies)]
+            data = b"".join(prints.to_pylist())
+            count = np.array([len(p) // 16 for p in prints.to_pylist()])
+            yield pa.RecordBatch.from_arrays([bid.take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary()), pa.array(sizes), pa.array(copies)], names=["bid", "fp", "n", "copies"])
+
+    return blocks.select("bid", "prints", "sizes", "copies").mapInArrow(run, "bid long, fp binary, n long, copies long")
 
-def postings(blocks: DataFrame, buckets: int, percent: int, radius: float) -> DataFrame:
-    """Packed postings (b, tokens, which, prints, meta) of the prefixes of leaders.
 
-    Two blocks hold a linked pair only if their leaders are nearer than the limit plus both radii. The prefix of
-    a leader is as long as that asks for beside a block of the largest radius.
-    """
-    limit = 1 - percent / 100
+def postings(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Packed postings (b, tokens, which, meta): the blocks that hold each token, with their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            tokens, which = [], []
-            for i, (n, before, r, order) in enumerate(zip(c["n"], c["before"], c["radius"], c["prefix"])):
-                least = max(0.0, 1 - (limit + r + radius)) * n
-                take = n - int(np.ceil(least - EPS)) + 1 - before  # tokens that no other set has come first
-                if take > 0:
-                    tokens.append(np.frombuffer(order, "<u8")[:take])
-                    which.append(np.full(len(tokens[-1]), i))
-            if not tokens:
-                continue
-            token, of = np.concatenate(tokens), np.concatenate(which)
+            parts = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(4)]
+            token, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            meta = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)], 1)
             b = ((token >> U(20)) % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             token, of, b = token[order], of[order], b[order]
-            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
             rows = []
             for i, j in zip(first.tolist(), np.append(first[1:], len(b)).tolist()):
                 used, at = np.unique(of[i:j], return_inverse=True)
-                meta = np.array([[c["n"][k], c["before"][k], len(c["prefix"][k]) // 8, c["radius"][k]] for k in used.tolist()])
-                rows.append((int(b[i]), token[i:j].tobytes(), at.astype("<u4").tobytes(), b"".join(c["fp"][k] for k in used.tolist()), meta.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=["b", "tokens", "which", "prints", "meta"])
+                rows.append((int(b[i]), token[i:j].tobytes(), at.astype("<u4").tobytes(), meta[used].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], names=["b", "tokens", "which", "meta"])
 
-    return blocks.select("fp", "n", "before", "radius", "prefix").mapInArrow(run, "b int, tokens binary, which binary, prints binary, meta binary")
+    return blocks.select("bid", "smallest", "largest", "behind", "tokens").mapInArrow(run, "b int, tokens binary, which binary, meta binary")
 
 
-def meet(percent: int, radius: float):
-    """Pairs of leaders that share prefix tokens of a bucket, and how many; lists are skipped by size.
+def meet(percent: int):
+    """Pairs of blocks that share prefix tokens of a bucket, and how many; lists are skipped by size.
 
-    A list is sorted by size of set, so the sets that a posting may pair with are one stretch of it.
+    A list is sorted by the smallest set of each block, so those that a posting may pair with are one stretch of
+    it. `least` is what two linked sets must share in their prefixes: their overlap is at most that and the
+    tokens behind one of the prefixes.
     """
-    limit = 1 - percent / 100
-    floor = max(0.0, 1 - (limit + 2 * radius))
+    t = percent / 100
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table["tokens"]]
-        prints = [np.frombuffer(x.as_buffer(), "V16") for x in table["prints"]]
-        base = np.cumsum([0] + [len(p) for p in prints])
+        metas = [np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 4) for x in table["meta"]]
+        base = np.cumsum([0] + [len(p) for p in metas])
         of = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") + o for x, o in zip(table["which"], base)])
-        name, meta = np.concatenate(prints), np.concatenate([np.frombuffer(x.as_buffer(), "<f8").reshape(-1, 4) for x in table["meta"]])
-        token, n = np.concatenate(parts), meta[:, 0]
-        order = np.lexsort((of, n[of], token))
+        bid, low, high, behind = np.concatenate(metas).T
+        token = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["tokens"]])
+        order = np.lexsort((of, low[of], token))
         token, of = token[order], of[order]
-        size, m = n[of], len(token)
+        m = len(token)
         new = np.ones(m, bool)
         new[1:] = token[1:] != token[:-1]
-        end = np.append(np.flatnonzero(new)[1:], m)[np.cumsum(new) - 1] if m else np.zeros(0, np.int64)
-        # the last posting of the list whose set is small enough, found in one search over (list, size)
-        span = size.max() + 2 if m else 1
+        end = np.append(np.flatnonzero(new)[1:], m)[np.cumsum(new) - 1]
+        span = low.max() + 2
         listed = (np.cumsum(new) - 1) * span
-        reach = np.minimum(np.searchsorted(listed + size, listed + np.minimum(np.floor(size / max(floor, 0.01) + EPS), span - 1), "right"), end)
-        width = reach - np.arange(m) - 1
-        codes, counts = [], []
+        # the end of the stretch, found in one search over (list, size)
+        reach = np.searchsorted(listed + low[of], listed + np.minimum(np.floor(high[of] / t + EPS).astype(np.int64), span - 1), "right")
+        width = np.maximum(np.minimum(reach, end) - np.arange(m) - 1, 0)
         upto, lo = np.concatenate([[0], np.cumsum(width)]), 0
+        code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
         while lo < m:
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
             row, place = ragged(width[lo:hi])
             a, b = of[lo + row], of[lo + row + 1 + place]
-            code, count = np.unique(np.minimum(a, b).astype(np.int64) * len(n) + np.maximum(a, b), return_counts=True)
-            codes.append(code)
-            counts.append(count)
-            if len(codes) > 16 or hi == m:
-                code, at = np.unique(np.concatenate(codes), return_inverse=True)
-                codes, counts = [code], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+            held.append(np.minimum(a, b).astype(np.int64) * len(bid) + np.maximum(a, b))
             lo = hi
-        code, count = (codes[0], counts[0]) if codes else (np.zeros(0, np.int64),) * 2
-        a, b = code // max(len(n), 1), code % max(len(n), 1)
-        swap = np.array([x > y for x, y in zip(name[a].tolist(), name[b].tolist())], bool)
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        keep = a != b
-        a, b, count = a[keep], b[keep], count[keep]
-        # the overlap is at most what prefixes share and what lies behind the shorter-reaching one
-        t = 1 - (limit + meta[a, 3] + meta[b, 3])
-        need = t / (1 + t) * (n[a] + n[b])
-        behind = np.maximum(_behind(meta[a], limit, radius), _behind(meta[b], limit, radius))
-        least = np.ceil(need - behind - EPS).astype(np.int64)
-        data = name.tobytes()
-        cell = lambda x: pa.array([data[16 * i : 16 * i + 16] for i in x.tolist()], pa.binary())
-        return pa.table([cell(a), cell(b), pa.array(count.astype(np.int64)), pa.array(least)], names=["a", "b", "common", "least"])
+            if lo == m or sum(map(len, held)) > PAIRS:
+                mine, n = np.unique(np.concatenate(held), return_counts=True)
+                code, at = np.unique(np.concatenate([code, mine]), return_inverse=True)
+                count, held = np.bincount(at, np.concatenate([count, n])).astype(np.int64), []
+        a, b = code // len(bid), code % len(bid)
+        fit = (bid[a] != bid[b]) & (high[a] >= t * low[b] - EPS) & (high[b] >= t * low[a] - EPS)
+        a, b, count = a[fit], b[fit], count[fit]
+        least = np.ceil(t / (1 + t) * (low[a] + low[b]) - np.maximum(behind[a], behind[b]) - EPS).astype(np.int64)
+        x, y = np.minimum(bid[a], bid[b]), np.maximum(bid[a], bid[b])
+        return pa.table([pa.array(c) for c in (x, y, count, least)], names=["a", "b", "common", "least"])
 
     return run
 
 
-def _behind(meta: np.ndarray, limit: float, radius: float) -> np.ndarray:
-    """Tokens of a leader behind its prefix: those it holds less those already passed."""
-    n, before, shared, r = meta.T
-    take = np.clip(n - np.ceil(np.maximum(0.0, 1 - (limit + r + radius)) * n - EPS) + 1 - before, 0, shared)
-    return shared - take
-
-
 class Block:
-    """A block as read back: its members' sets and their sizes."""
+    """Sets of one block: prints, sizes, copies and sorted tokens; the first is the leader."""
 
-    def __init__(self, row: dict) -> None:
-        self.radius, self.n = row["radius"], row["n"]
-        self.prints = [row["prints"][i : i + 16] for i in range(0, len(row["prints"]), 16)]
-        self.sizes, self.copies, counts = (np.frombuffer(row[k], "<i8") for k in ("sizes", "copies", "counts"))
-        self.tokens = np.split(np.frombuffer(row["tokens"], "<u8"), np.cumsum(counts)[:-1])
+    def __init__(self, rows: list[tuple[bytes, int, int, np.ndarray]]) -> None:
+        self.prints = [r[0] for r in rows]
+        self.sizes, self.copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.tokens = [r[3] for r in rows]
+        self.n = int(self.sizes[0])
+        both = np.array([overlap(self.tokens[0], x) for x in self.tokens])
+        self.radius = float((1 - both / (self.n + self.sizes - both)).max())
 
 
 def links(a: Block, b: Block, percent: int) -> np.ndarray | None:
@@ -360,24 +343,70 @@ def answer(a: Block, b: Block, percent: int, self_pair: bool) -> tuple[list, lis
 
 
 def verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in BLOCK.split(", ")]
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                a = Block({n: row[f"a_{n}"] for n in names})
-                same = row["b_fp"] is None
-                b = a if same else Block({n: row[f"b_{n}"] for n in names})
-                found, edges = answer(a, b, percent, same)
-                out += [(p, None, n) for p, n in found] + [(x, y, 0) for x, y in edges]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.binary(), pa.binary(), pa.int64()])], names=["fp", "other", "linked"])
+    """The links of the pairs of blocks that are set to this task, among the sets that came to it."""
+
+    def run(key: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        rows: dict[int, dict[bytes, tuple]] = {}
+        for bid, fp, n, copies, tokens in zip(*[sets[c].to_pylist() for c in ("bid", "fp", "n", "copies", "tokens")]):
+            rows.setdefault(bid, {})[fp] = (fp, n, copies, np.frombuffer(tokens, "<u8"))
+        blocks = {b: Block([r[k] for k in sorted(r, key=lambda k: (-r[k][1], k))]) for b, r in rows.items()}
+        linked: dict[bytes, int] = {}
+        edges: set[tuple[bytes, bytes]] = set()
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            found, joins = answer(blocks[a], blocks[b], percent, a == b)
+            edges.update(joins)
+            for p, n in found:
+                linked[p] = linked.get(p, 0) + n
+        out = [(p, None, n) for p, n in linked.items()] + [(x, y, 0) for x, y in sorted(edges)]
+        kinds = [pa.binary(), pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=["fp", "other", "linked"])
 
     return run
 
 
+def tasks(blocks: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where pairs of blocks are looked at, (task, part, a, b), and the blocks that go there, (task, part, bid).
+
+    Blocks that pairs join are looked at together, so each set travels once. Where more than GATHER sets hang
+    together, each pair goes to the larger of its blocks instead, and its guests are dealt to several parts.
+    """
+    size = blocks.select("bid", "members")
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = size.join(roots.select(F.col("v").alias("bid"), "root"), "bid", "left").withColumn("root", F.coalesce("root", "bid"))
+    total = placed.groupBy("root").agg(F.sum("members").alias("total"))
+    placed = written(placed.join(total, "root"), "placed")
+    own = placed.where("members > 1").select("root", "total", F.col("bid").alias("a"), F.col("bid").alias("b"), F.col("members").alias("na"), F.col("members").alias("nb"))
+    sizes = placed.select("root", "total", F.col("bid").alias("a"), F.col("members").alias("na"))
+    cross = pairs.join(sizes, "a").join(size.toDF("b", "nb"), "b").select(own.columns)
+    every = own.union(cross)
+    near = every.where(F.col("total") <= GATHER).select(F.col("root").alias("task"), F.lit(0).alias("part"), "a", "b")
+    first = F.col("na") >= F.col("nb")
+    far = every.where(F.col("total") > GATHER).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), F.least("na", "nb").alias("m"))
+    parts = far.groupBy("host").agg(F.ceil(F.sum("m") / GUESTS).cast("int").alias("parts"))
+    far = far.join(parts, "host").select(F.col("host").alias("task"), F.pmod(F.xxhash64("guest"), "parts").cast("int").alias("part"), F.col("host").alias("a"), F.col("guest").alias("b"))
+    work = written(near.union(far), "tasks")
+    go = work.select("task", "part", F.col("a").alias("bid")).union(work.select("task", "part", F.col("b").alias("bid"))).distinct()
+    return work, go
+
+
+def whole_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(task, part, bid, fp, n, copies, tokens): the whole set of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in slices(whole.column(6), 4 << 20):
+                part = whole.slice(lo, hi - lo)
+                raw, at = utf8(part.column(6))
+                s = Sets(find_words(lowered(raw), at), size)
+                data, ends = s.token.tobytes(), s.of.tolist()
+                tokens = pa.array([data[8 * i : 8 * j] for i, j in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(6)], tokens], names=["task", "part", "bid", "fp", "n", "copies", "tokens"])
+
+    return rows.select("task", "part", "bid", "fp", "n", "copies", "text").mapInArrow(run, "task long, part int, bid long, fp binary, n long, copies long, tokens binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every end of an edge (u, v): the smallest vertex that it reaches.
+    """(v, root) for every end of an edge but roots: the smallest vertex that it reaches.
 
     Large-star and small-star rounds; each round's edges are a written table, and rounds end when none changes.
     """
@@ -398,23 +427,30 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def joined(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, radius: float) -> DataFrame:
+def joined(docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
     """(id, h, n, n_similar, component_id, root) of every row; root names its component, null for an empty set."""
     t, groups = grouped(docs, doc_id, text, [])
     d = written(describe(docs, doc_id, text, groups, size), "sets")
-    classes = written(d.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.min("g").alias("g")), "classes")
-    v = written(survivors(t, classes.select("g", "fp", "copies"), groups, size, percent), "survivors")
+    one = F.min(F.struct("g", "id", "h")).alias("one")
+    classes = d.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), one)
+    classes = written(classes.select("fp", "copies", "first_id", "one.g", "one.id", "one.h"), "classes")
+    v = survivors(t, classes.select("g", "fp", "copies"), groups, size, percent)
 
     parts = partitions(docs.sparkSession)
-    v = v.select("fp", "n", "copies", "lead", F.pmod(F.xxhash64("fp"), SALTS).cast("int").alias("salt"), "tokens")
     v = v.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("n"), "fp")
-    blocks = written(v.mapInArrow(build_blocks(percent, radius), BLOCK), "blocks")
-    met = postings(blocks, max(parts, groups), percent, radius).groupBy("b").applyInArrow(meet(percent, radius), "a binary, b binary, common long, least long")
+    blocks = written(v.select("lead", "salt", "fp", "n", "copies", "behind", "tokens").mapInArrow(build_blocks, BLOCK), "blocks")
+    met = postings(blocks, max(parts, groups)).groupBy("b").applyInArrow(meet(percent), "a long, b long, common long, least long")
     pairs = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("least").alias("least")).where("common >= least").select("a", "b")
-    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns])
-    own = side("a").where("a_members > 1").select("*", *[F.lit(None).cast(f.dataType).alias(f"b_{f.name}") for f in blocks.schema.fields])
-    cross = pairs.join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp")).drop("a", "b")
-    found = written(own.unionByName(cross).mapInArrow(verify(percent), "fp binary, other binary, linked long"), "links")
+
+    work, go = tasks(blocks, written(pairs, "pairs"))
+    wanted = go.join(members_of(blocks), "bid").join(classes.select("fp", F.col("id").alias("key_id"), F.col("h").alias("key_h")), "fp")
+    wanted = written(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("h") == F.col("key_h")))
+    sets = whole_sets(rows, size).groupBy("task", "part")
+    found = written(sets.cogroup(work.groupBy("task", "part")).applyInArrow(verify(percent), "fp binary, other binary, linked long"), "links")
 
     linked = found.groupBy("fp").agg(F.sum("linked").alias("linked"))
     roots = components(found.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v")))
@@ -424,7 +460,7 @@ def joined(docs: DataFrame, text: str, doc_id: str, size: int, percent: int, rad
     return d.join(member, "fp", "left").select("id", "h", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, radius: float = RADIUS) -> DataFrame:
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, n_similar, component_id) for every row of `docs`.
 
     A document's set is its distinct shingles of `size` words, A-Z lower-cased; a shorter text is one shingle as
@@ -432,25 +468,25 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     n_similar counts the other documents linked to this one, component_id is the smallest id reachable by links.
 
     Documents with equal sets are one class and are counted, not paired. The join is exact: sets without enough
-    tokens that others share are out, the rest lie in blocks of at most MEMBERS within `radius` of a leader, and
-    only blocks whose leaders meet in their prefixes are looked at. No list, group or pair count is capped.
+    tokens that others share are out, the rest lie in blocks of at most MEMBERS, and whole sets are read only for
+    blocks that share enough prefix tokens. No list, group or pair count is capped.
 
     A null text or one without words: size 0, no links, its own component. Null ids are documents too, and never
     the smallest id unless all of a component are null. Repeated rows are documents of their own. Other columns
     are not read. An empty table gives an empty result.
     """
-    out = joined(docs, text, doc_id, size, percent, radius)
+    out = joined(docs, text, doc_id, size, percent)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_similar", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, radius: float = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` but for the documents linked to one that stays: one of each component, with all columns.
 
     The smallest id stays, null ids last, of equal ids the smaller hash of the text, and of rows that repeat id
     and text one. Documents without words are linked with nothing and stay. What goes is small beside the texts:
     its keys are broadcast below BROADCAST_ROWS and joined by a shuffle beyond that.
     """
-    d = written(joined(docs, text, doc_id, size, percent, radius).where("root is not null").groupBy("root", "id", "h").agg(F.count("*").alias("rows")), "members")
+    d = written(joined(docs, text, doc_id, size, percent).where("root is not null").groupBy("root", "id", "h").agg(F.count("*").alias("rows")), "members")
     first = d.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     d = d.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
     d = written(d.where("not stays or rows > 1").select(F.col("id").alias("key_id"), F.col("h").alias("key_h"), "stays"), "leaving")

@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table([p.table["id"], kept_words(p, removed), *columns, pa.array(np.diff(of)), pa.array(lost)], names=["id", "text", *[f"rest_{i}" for i in range(len(rest))], "n_words", "n_removed"])
 
     sent = t.select("g", "id", "text").groupBy("g").applyInArrow(send_symbols, "b int, g int, keys binary")
-    answers = sent.groupBy("b").applyInArrow(answer_counts, "g int, b int, seen binary")
+    answers = sent.groupBy("b").applyInArrow(answer_counts(4), "g int, b int, seen binary")
     found = t.select("g", "id", "text").groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(send_windows, "b int, g int, keys binary, names binary, which binary, start binary")
     late = found.groupBy("b").applyInArrow(_later, "g int, keys binary")
     kinds = "".join(f"rest_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
