@@ -6,7 +6,7 @@ import corpus_pipeline as P
 
 def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
-    junk = spark.createDataFrame([(9001, "#### 1234 !!!! " * 30, "en", "src0", 450)], docs.schema)
+    junk = spark.createDataFrame([(9001, "Привет мир, как дела сегодня? " * 30, None, "src0", 900)], docs.schema)
     rows = docs.unionByName(junk)
     stage = dict(P.STAGES)
     assert list(stage) == ["language_id", "near_duplicates", "substring_dedup", "mixture", "sentencepiece"]
