@@ -24,10 +24,16 @@ CLASSES = ("space", "lower", "upper", "letter", "digit", "mark", "symbol")
 
 @dataclass(frozen=True)
 class Limits:
-    """A histogram is judged only from its least size on; a distance beyond its limit rejects."""
+    """A histogram is judged only from its least size on; a distance beyond its limit rejects.
+
+    The limit of words follows from the nearest reference: `word_share` of the divergence that a text with no
+    common word has from it, and what a text as long drawn from the reference shows by chance; but at most
+    `word_most` of the distance of a text with no common word, so that such a text is always beyond it.
+    """
 
     char_distance: float = 0.28
-    word_distance: float = 0.75
+    word_share: float = 0.5
+    word_most: float = 0.95
     least_chars: int = 200
     least_words: int = 50
 
@@ -93,7 +99,12 @@ def references(f: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float],
 
 
 def nearest_distance(counts: Column, refs: list[list[float]]) -> Column:
-    """The smallest Jensen-Shannon distance, base 2, from a histogram to one of `refs`: 0 to 1, and 0 for no counts.
+    """The smallest Jensen-Shannon distance, base 2, from a histogram to one of `refs`: 0 to 1, and 0 for no counts."""
+    return nearest(counts, refs)["d"]
+
+
+def nearest(counts: Column, refs: list[list[float]]) -> Column:
+    """(d, i): the smallest distance as in nearest_distance and the place of its reference in `refs`.
 
     With m the mean of both, the divergence is sum(p log p)/2 + sum(q log q)/2 - sum(m log m). The first sum is
     taken once, the second here and now, so that only the last is left for each reference.
@@ -107,29 +118,44 @@ def nearest_distance(counts: Column, refs: list[list[float]]) -> Column:
         return F.sqrt(F.greatest(F.lit(0.0), own / 2 + fixed - both) / math.log(2))
 
     def least(p: Column) -> Column:
-        return bind(plus(F.transform(p, xlogx)), lambda own: F.array_min(F.array(*[to(p, own, q) for q in refs])))
+        return bind(plus(F.transform(p, xlogx)), lambda own: F.array_min(F.array(*[F.struct(to(p, own, q).alias("d"), F.lit(i).alias("i")) for i, q in enumerate(refs)])))
 
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
     shares = bind(total, lambda t: F.transform(counts, lambda x: F.try_divide(x.cast("double"), t)))
     return bind(shares, least)
 
 
+def word_limit(near: Column, n_words: Column, refs: list[list[float]], limits: Limits) -> Column:
+    """The limit of the word distance for texts of `n_words` words whose nearest of `refs` is the one at `near`.
+
+    With s the share of common words, a text with none of them lies at a divergence of
+    (s + (1 - s) log2(1 - s) - (2 - s) log2((2 - s) / 2)) / 2. A text of n words drawn from a reference shows about
+    1 / (8 n ln 2) by chance for each common word of a language.
+    """
+    none = lambda s: (s + ((1 - s) * math.log2(1 - s) if s < 1 else 0) - (2 - s) * math.log2((2 - s) / 2)) / 2
+    apart = F.get(F.array(*[F.lit(none(1 - q[-1])) for q in refs]), near)
+    chance = F.try_divide(F.lit(max(len(v.split()) for v in COMMON.values()) / (8 * math.log(2))), n_words)
+    return F.least(limits.word_most * F.sqrt(apart), F.sqrt(limits.word_share * apart + chance))
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:
     """The base counts of every row, its distances to the nearest language reference, and whether it is kept.
 
     References are the summed histograms of each of LANGUAGES over the whole table, without the documents that
     the base rules reject. A document is measured against its nearest language, so a wrong label does not
     reject it. A text shorter than the guards keeps the verdict of the base rules, as do all texts where no
-    language has a reference. A null text is empty: it has no words, so it fails the base rules. Repeated rows
+    language has a reference; a reference without a single common word says nothing of words. A null text is empty: it has no words, so it fails the base rules. Repeated rows
     are kept; other columns are left out; an empty table gives an empty result.
     """
     names = tuple(dict.fromkeys([*keep, lang]))
     f = written(features(docs, text, names), "features")
     known = references(f, lang)
-    nearest = lambda c, k: nearest_distance(F.col(c), [r[k] for r in known.values()]) if known else F.lit(0.0)
-    chars, common = nearest("classes", 0), nearest("common", 1)
-    f = f.withColumn("char_distance", chars).withColumn("word_distance", common)
-    odd = (F.col("n_words") >= limits.least_words) & (F.col("word_distance") > limits.word_distance)
+    by_class, by_word = [r[0] for r in known.values()], [r[1] for r in known.values() if sum(r[1][:-1]) > 0]
+    f = f.withColumn("char_distance", nearest_distance(F.col("classes"), by_class) if by_class else F.lit(0.0))
+    f = f.withColumn("near", nearest(F.col("common"), by_word) if by_word else F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i")))
+    f = f.withColumn("word_distance", F.col("near")["d"])
+    limit = word_limit(F.col("near")["i"], F.col("n_words"), by_word, limits) if by_word else F.lit(1.0)
+    odd = (F.col("n_words") >= limits.least_words) & (F.col("word_distance") > limit)
     odd |= (F.col("word_chars") >= limits.least_chars) & (F.col("char_distance") > limits.char_distance)
     f = f.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
     return f.select(*[f"`{k}`" for k in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")

@@ -108,6 +108,25 @@ def test_quality_keeps_prose_and_rejects_symbols(spark, sf):
     assert all(r.kept for i, r in got.items() if i in good and not r.base_failed)
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(5)
+    own = {lang: [f"{lang}{''.join(rng.choices('abdelmnorstu', k=k))}" for k in range(2, 9) for _ in range(30)] for lang in quality.COMMON}
+
+    def prose(lang, n, share):
+        common = quality.COMMON[lang].split()
+        weights = [1 / (k + 1) for k in range(len(common))]
+        return " ".join(rng.choices(common, weights)[0] if rng.random() < share else rng.choice(own[lang]) for _ in range(n))
+
+    rows = [(i, prose(lang, n, 0.25), lang, 1) for i, (lang, n) in enumerate((lang, n) for lang in own for n in (50, 60, 80, 150, 400, 2000) * 5)]
+    rows += [(1000 + i, prose("en", n, share), "en", 0) for i, (n, share) in enumerate([(50, 0), (70, 0), (150, 0), (400, 0), (2000, 0), (600, 0.01), (2000, 0.02)])]
+    rows += [(2000, prose("en", 49, 0), "en", 1)]  # shorter than the guard
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, good int")).collect()}
+    assert all(r.char_distance < quality.Limits().char_distance and not r.base_failed for r in got.values())
+    assert [i for i, _, _, good in rows if got[i].kept != bool(good)] == []
+    plain = spark.createDataFrame([(i, " ".join(rng.sample(own["en"], 80)), "en") for i in range(3)], "doc_id long, text string, lang string")
+    assert all(r.kept and r.word_distance == 0 for r in quality.quality_rules(plain).collect())  # no reference knows a common word
+
+
 def test_js_distance_equals_formula(spark):
     import math
 
