@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 TABLES = 12
 PROBES = 8
 SEED = 20240
-FEW = 1024  # up to so many vectors, every bucket is probed
 BLOCK = 8192  # rows of one side that meet in a task
 
 
@@ -89,14 +90,30 @@ def best_of(k: int):
     return run
 
 
+def met(members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query the k best members of the buckets that it looks into."""
+    # one row a bucket: at most tables * 2 * (dimensions, to a power of two), whatever the data
+    count = lambda df, c: df.groupBy("t", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    split = F.broadcast(count(members, "ms").join(count(queries, "qs"), ["t", "b"]))
+    mine = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = members.join(split, ["t", "b"]).select("t", "b", mine(F.col("ms")).alias("m"), all_of("qs").alias("q"), "id", "v")
+    queries = queries.join(split, ["t", "b"]).select("t", "b", mine(F.col("qs")).alias("q"), all_of("ms").alias("m"), "id", "v")
+    on = ["t", "b", "m", "q"]
+    found = members.groupBy(*on).cogroup(queries.groupBy(*on)).applyInArrow(best_of(k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(vecs: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest vectors found, by inner product.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id.
     All rows are indexed: a vector lies in the bucket of its nearest signed axis after a pseudo-random rotation,
     once in each table, and a query looks into the buckets of its `probes` nearest axes. Every candidate met is
-    scored on the original vectors in double precision; ties go to the smaller id. Up to FEW vectors every
-    bucket is probed, so small tables give all there is.
+    scored on the original vectors in double precision; ties go to the smaller id. A query that met fewer
+    than k candidates looks into every bucket of one table, so it gets all there is.
 
     Buckets that hold many members or meet many queries are split by a hash of the id into blocks of about
     BLOCK rows a side; a block keeps only its best k for each query, so no group is larger and no pair list is
@@ -108,22 +125,16 @@ def nearest(vecs: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
     if not lengths:
         return vecs.sparkSession.sql("SELECT 0L query_id, 0 rank, 0L vec_id, 0D score WHERE false")
-    dims, n = lengths[0]
+    dims = lengths[0]["d"]
     v = v.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
-    members = hashed(v, tables, 1, seed)
-    queries = hashed(v.where(F.col("id") % every == 0), tables, 2 * dims * 2 if n <= FEW else probes, seed)
-    # one row a bucket: at most tables * 2 * (dimensions, to a power of two), whatever the data
-    count = lambda df, c: df.groupBy("t", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
-    split = F.broadcast(count(members, "ms").join(count(queries, "qs"), ["t", "b"]))
-    mine = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = members.join(split, ["t", "b"]).select("t", "b", mine(F.col("ms")).alias("m"), all_of("qs").alias("q"), "id", "v")
-    queries = queries.join(split, ["t", "b"]).select("t", "b", mine(F.col("qs")).alias("q"), all_of("ms").alias("m"), "id", "v")
-    on = ["t", "b", "m", "q"]
-    found = members.groupBy(*on).cogroup(queries.groupBy(*on)).applyInArrow(best_of(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = v.where(F.col("id") % every == 0)
+    found = written(met(hashed(v, tables, 1, seed), hashed(asked, tables, probes, seed), k), "neighbours")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = asked.join(full, "id", "left_anti")
+    if not short.head(1):
+        return found
+    rest = met(hashed(v, 1, 1, seed), hashed(short, 1, 4 * dims, seed), k)
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,19 @@ def test_neighbours_recall_and_blocks(spark, monkeypatch):
     assert all(abs(r.score - float(np.dot(x[r.query_id], x[r.vec_id]))) < 1e-12 for r in got[:200])
 
 
+def test_neighbours_hash_alike_at_every_size(spark, monkeypatch):
+    asked, hashed = [], neighbours.hashed
+    monkeypatch.setattr(neighbours, "hashed", lambda df, tables, probes, seed: asked.append((tables, probes)) or hashed(df, tables, probes, seed))
+    x = np.random.default_rng(6).normal(size=(1100, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in (1000, 1100):
+        rows = [(i, [float(c) for c in v]) for i, v in enumerate(x[:n])]
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        want = {(q, i) for q, _, i in nearest(rows)}
+        assert 0.9 * len(want) <= len({(r.query_id, r.vec_id) for r in got} & want) and len(got) == len(want)
+    assert asked == [(neighbours.TABLES, 1), (neighbours.TABLES, neighbours.PROBES)] * 2
+
+
 @pytest.fixture(params=[64, 1 << 20])
 def small_groups(request, monkeypatch):
     monkeypatch.setattr(_exchange, "GROUP_BYTES", request.param)
