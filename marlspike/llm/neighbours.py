@@ -49,8 +49,12 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def hashed(df: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """(t, b, id, v): each vector under its `probes` nearest signed axes of every table; one axis indexes it."""
+def hashed(df: DataFrame, tables: int, probes: int, seed: int, square: float | None = None) -> DataFrame:
+    """(t, b, id, v): each vector under its `probes` nearest signed axes of every table; one axis indexes it.
+
+    With `square`, the mean squared length, a vector takes `probes` times its squared length over that, rounded,
+    and one axis at least: long vectors have large products at moderate angles too. Rows stay below twice as many.
+    """
     kind = df.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,13 +62,17 @@ def hashed(df: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 x, n = vectors(batch.column(1)), batch.num_rows
+                width = 2 << max(0, (x.shape[1] - 1).bit_length())
+                each = np.full(n, min(probes, width)) if square is None else np.clip(np.rint(probes * np.nan_to_num(((x / np.sqrt(square or 1.0)) ** 2).sum(1))), 1, width).astype(int)
+                k, row = int(each.max()), pa.array(np.repeat(np.arange(n), each))
                 for t in range(tables):
                     y = rotated(x, t, seed)
                     signed = np.concatenate([y, -y], 1)
-                    k = min(probes, signed.shape[1])
-                    b = signed.argmax(1)[:, None] if k == 1 else np.argpartition(-signed, k - 1, axis=1)[:, :k]
-                    row = pa.array(np.repeat(np.arange(n), k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n * k, t, np.int32)), pa.array(b.ravel().astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], names=["t", "b", "id", "v"])
+                    b = signed.argmax(1)[:, None] if k == 1 else np.argsort(-signed, axis=1)[:, :k]
+                    b = b[np.arange(k) < each[:, None]]
+                    for at in range(0, len(b), 4000):
+                        part, rows = b[at : at + 4000].astype(np.int32), row[at : at + 4000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t, np.int32)), pa.array(part), batch.column(0).take(rows), batch.column(1).take(rows)], names=["t", "b", "id", "v"])
 
     return df.mapInArrow(run, f"t int, b int, id long, v {kind}")
 
@@ -111,7 +119,8 @@ def nearest(vecs: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's id.
     All rows are indexed: a vector lies in the bucket of its nearest signed axis after a pseudo-random rotation,
-    once in each table, and a query looks into the buckets of its `probes` nearest axes. Every candidate met is
+    once in each table (a longer one also in the next nearest, as many as its squared length is times the mean,
+    since a product may be large at a moderate angle), and a query looks into the buckets of its `probes` nearest axes. Every candidate met is
     scored on the original vectors in double precision; ties go to the smaller id. A query that met fewer
     than k candidates looks into every bucket of one table, so it gets all there is.
 
@@ -128,7 +137,8 @@ def nearest(vecs: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id
     dims = lengths[0]["d"]
     v = v.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
     asked = v.where(F.col("id") % every == 0)
-    found = written(met(hashed(v, tables, 1, seed), hashed(asked, tables, probes, seed), k), "neighbours")
+    square = v.agg(F.avg(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, c: s + c * c))).head()[0]
+    found = written(met(hashed(v, tables, 1, seed, square), hashed(asked, tables, probes, seed), k), "neighbours")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = asked.join(full, "id", "left_anti")
     if not short.head(1):

@@ -190,7 +190,7 @@ def test_neighbours_recall_and_blocks(spark, monkeypatch):
 
 def test_neighbours_hash_alike_at_every_size(spark, monkeypatch):
     asked, hashed = [], neighbours.hashed
-    monkeypatch.setattr(neighbours, "hashed", lambda df, tables, probes, seed: asked.append((tables, probes)) or hashed(df, tables, probes, seed))
+    monkeypatch.setattr(neighbours, "hashed", lambda df, tables, probes, *more: asked.append((tables, probes)) or hashed(df, tables, probes, *more))
     x = np.random.default_rng(6).normal(size=(1100, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
     for n in (1000, 1100):
@@ -201,6 +201,17 @@ def test_neighbours_hash_alike_at_every_size(spark, monkeypatch):
     assert asked == [(neighbours.TABLES, 1), (neighbours.TABLES, neighbours.PROBES)] * 2
 
 
+def test_neighbours_of_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 64))
+    x *= (np.exp(rng.normal(size=2000)) / np.linalg.norm(x, axis=1))[:, None]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = [(q, i) for q, _, i in nearest(rows)]
+    found = {q: sum(p in got for p in want if p[0] == q) for q in {q for q, _ in want}}
+    assert sum(found.values()) >= 0.97 * len(want) and min(found.values()) >= 16
+
+
 @pytest.fixture(params=[64, 1 << 20])
 def small_groups(request, monkeypatch):
     monkeypatch.setattr(_exchange, "GROUP_BYTES", request.param)
