@@ -2,7 +2,8 @@
 
 A table of texts is shuffled once into groups of about GROUP_BYTES. A round sends the distinct keys of each
 group, packed, to buckets, and answers come back to the groups. A key that a third of all rows share costs one
-entry for each group, so no key makes a bucket or a task large.
+entry for each group, so no key makes a bucket or a task large. There is a bucket for so many groups, so that
+a row from a group to a bucket holds many keys.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ._bytes import Words, find_words, lowered, span_hashes, utf8
 from ._shared import partitions
 
 GROUP_BYTES = 4 << 20
+GROUPS_A_BUCKET = 8
 LOW = np.uint64((1 << 32) - 1)
 LAST = np.iinfo(np.int64).max
 U = np.uint64
@@ -47,43 +49,40 @@ class Group:
         self.texts = at
 
 
+def buckets_of(groups: int) -> int:
+    return math.ceil(groups / GROUPS_A_BUCKET)
+
+
 def composite(key: np.ndarray, bucket_of: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket above, 32 bits of the key below: sorted, the keys of a bucket lie together.
 
-    There are as many buckets as groups, so a bucket's share of 2^32 stays about 1 in 10,000 at any size. Keys
-    that fall together by chance only make a few more candidates.
+    Buckets grow with the groups, so a bucket's share of 2^32 stays about 1 in 1,000 at any size. Keys that fall
+    together by chance only make a few more candidates.
     """
     return ((bucket_of % U(buckets)) << U(32)) | (key & LOW)
 
 
-def narrow(codes: np.ndarray) -> np.ndarray:
-    """Codes with only 24 bits of the key: a bucket's share is then about 1 in 40, still at any size."""
-    return (codes >> U(32) << U(32)) | (codes & U((1 << 24) - 1))
-
-
-def pack(codes: np.ndarray, g: int, width: int = 4) -> pa.Table:
-    """Rows (b, g, keys) of sorted distinct codes, `width` bytes a key."""
+def pack(codes: np.ndarray, g: int) -> pa.Table:
+    """Rows (b, g, keys) of sorted distinct codes, four bytes a key."""
     b = (codes >> U(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    low = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = (codes & LOW).astype("<u4").tobytes()
     last = np.append(first[1:], len(b))
-    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([low[width * i : width * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
+    return pa.table([pa.array(b[first].astype(np.int32)), pa.array(np.full(len(first), g, np.int32)), pa.array([low[4 * i : 4 * j] for i, j in zip(first.tolist(), last.tolist())], pa.binary())], names=["b", "g", "keys"])
 
 
-def answer_counts(width: int):
-    """For each group of a bucket, in how many groups each of its keys is: one byte a key, 255 for as many or more."""
+def level(count: np.ndarray | int) -> np.ndarray:
+    """A count as one byte that rises with its logarithm: 0 for one, 255 for four billion."""
+    return np.minimum(np.rint(8 * np.log2(count)), 255).astype(np.uint8)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in table["keys"]]
-        size = np.array([len(x) for x in blobs])
-        keys = np.zeros((size.sum(), 4), np.uint8)
-        keys[:, :width] = np.concatenate(blobs)
-        _, which, count = np.unique(keys.view("<u4").ravel(), return_inverse=True, return_counts=True)
-        seen = np.minimum(count, 255).astype(np.uint8)[which].tobytes()
-        ends = np.cumsum(size).tolist()
-        return pa.table([table["g"], pa.array(np.full(len(size), key[0].as_py(), np.int32)), pa.array([seen[e - n : e] for e, n in zip(ends, size.tolist())], pa.binary())], names=["g", "b", "seen"])
 
-    return run
+def answer_counts(key: tuple, table: pa.Table) -> pa.Table:
+    """For each group of a bucket, in how many groups each of its keys is, as the level of that count."""
+    blobs = [np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]]
+    size = [len(x) for x in blobs]
+    _, which, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    seen, ends = level(count)[which].tobytes(), np.cumsum(size).tolist()
+    return pa.table([table["g"], pa.array(np.full(len(size), key[0].as_py(), np.int32)), pa.array([seen[e - n : e] for e, n in zip(ends, size)], pa.binary())], names=["g", "b", "seen"])
 
 
 def in_order(table: pa.Table) -> np.ndarray:

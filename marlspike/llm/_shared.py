@@ -41,8 +41,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a table made by written() that no later action reads."""
+def drop_written(df: DataFrame) -> None:
+    """Removes a table made by written(), or rows chosen from one, that no later action reads."""
+    spark = df.sparkSession
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

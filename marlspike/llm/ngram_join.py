@@ -1,9 +1,10 @@
 """N-gram Jaccard join by set relations: skip blocks of index lists, derive a set's answers from a similar set's.
 
-Sets that share a minimum hash lie in one block, and index lists hold blocks, sorted by size of set, so that a
-posting looks at one stretch of its list. Jaccard distance is a metric: the distance of two leaders and the radii
-of their blocks decide all pairs of two blocks, none, or a closer look. There the overlaps of a member follow
-from those of its leader and the few tokens in which the two differ.
+Similar sets with a common minimum hash lie in one block. Index lists hold blocks, cut by the position of the
+token in them and sorted by size inside each cut, so that a posting skips the cuts that its own position rules
+out and looks at one stretch of the others. Jaccard distance is a metric: the distance of two leaders and the
+radii of their blocks decide all pairs of two blocks, none, or a closer look. There the overlaps of a member
+follow from those of its leader and the few tokens in which the two differ.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import find_words, lowered, mix, ragged, slices, utf8, windows
-from ._exchange import LAST, Group, U, answer_counts, composite, grouped, in_order, narrow, pack
-from ._shared import partitions, written
+from ._exchange import LAST, Group, U, answer_counts, buckets_of, composite, grouped, in_order, level, pack
+from ._shared import drop_written, partitions, written
 
 SHINGLE = 2
 PERCENT = 60
 BEYOND = 0.05  # share of a set that its prefix is longer than it must be, so that one common token is not enough
 MEMBERS = 256  # of a block, at most
+ALIKE = 0.6  # least size and prefix that a member shares with its leader, so that a block is tight
+OPEN = 64  # blocks of one lead that a set may join
 COMMON = 50  # a token that one in so many sets of a group holds does not tell similar sets
-GATHER = 4096  # sets that hang together and are looked at in one task
-GUESTS = 2048  # sets that else meet a block in one task, about
+GATHER = 4 << 20  # tokens of sets that hang together and are looked at in one task
+GUESTS = 2 << 20  # tokens of a cell where more hang together, about; two cells meet in a task
 HOT, SALTS = 200, 64  # a minimum hash that so many groups hold is spread over so many tasks
 PAIRS = 1 << 21  # posting pairs looked at in one step
 EPS = 1e-9
@@ -101,10 +104,10 @@ class Representatives(Group):
 
     def codes(self, buckets: int) -> np.ndarray:
         k = mix(self.token)
-        return narrow(composite(k, k >> U(40), buckets))
+        return composite(k, k >> U(40), buckets)
 
 
-def survivors(t: DataFrame, reps: DataFrame, groups: int, size: int, percent: int) -> DataFrame:
+def survivors(t: DataFrame, reps: DataFrame, buckets: int, size: int, percent: int) -> DataFrame:
     """(fp, n, copies, lead, salt, behind, tokens) of the sets that may have a partner.
 
     Only tokens that other sets hold too can be in an intersection, so a set with fewer than `percent` % of them
@@ -115,8 +118,8 @@ def survivors(t: DataFrame, reps: DataFrame, groups: int, size: int, percent: in
 
     def send(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
         if not own.num_rows:
-            return pack(np.zeros(0, U), 0, 3)
-        return pack(np.unique(Representatives(table, own["fp"].to_pylist(), size).codes(groups)), key[0].as_py(), 3)
+            return pack(np.zeros(0, U), 0)
+        return pack(np.unique(Representatives(table, own["fp"].to_pylist(), size).codes(buckets)), key[0].as_py())
 
     def choose(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
         names = ["fp", "n", "copies", "lead", "salt", "behind", "tokens"]
@@ -125,9 +128,9 @@ def survivors(t: DataFrame, reps: DataFrame, groups: int, size: int, percent: in
         rows = []
         if own.num_rows:
             r = Representatives(table, own["fp"].to_pylist(), size)
-            _, which, count = np.unique(r.codes(groups), return_inverse=True, return_counts=True)
+            _, which, count = np.unique(r.codes(buckets), return_inverse=True, return_counts=True)
             seen = in_order(right.filter(right["seen"].is_valid()).select(["b", "seen"]))
-            shared, rank = ((seen > 1) | (count > 1))[which], seen[which]
+            shared, rank = ((seen > 0) | (count > 1))[which], seen[which]
             use = np.flatnonzero(shared)
             use = use[np.lexsort((r.token[use], rank[use], r.row[use]))]
             at = np.searchsorted(r.row[use], np.arange(len(r.n) + 1))
@@ -145,12 +148,12 @@ def survivors(t: DataFrame, reps: DataFrame, groups: int, size: int, percent: in
                     least = np.argpartition(own_hashes, 1)[:2] if have > 1 else np.zeros(1, np.int64)
                     lead = int(np.sort(own_hashes[least])[0] ^ (np.sort(own_hashes[least])[-1] >> 1))
                     k = at[i] + int(least[own_hashes[least].argmin()])
-                    salt = r.prints[i][0] % SALTS if rank[k] >= HOT else 0
+                    salt = r.prints[i][0] % SALTS if rank[k] >= level(max(HOT, 1)) else 0
                     rows.append((r.prints[i], n, copies[i], lead, salt, int(max(0, have - take)), token[mine][:take].tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
     sent = t.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(send, "b int, g int, keys binary")
-    answers = sent.groupBy("b").applyInArrow(answer_counts(3), "g int, b int, seen binary")
+    answers = sent.groupBy("b").applyInArrow(answer_counts, "g int, b int, seen binary")
     right = answers.unionByName(reps, allowMissingColumns=True)
     return t.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(choose, "fp binary, n long, copies long, lead long, salt int, behind long, tokens binary")
 
@@ -162,33 +165,61 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-BLOCK = "bid long, members int, smallest long, largest long, behind long, prints binary, sizes binary, copies binary, tokens binary"
+BLOCK = "bid long, members int, smallest long, largest long, behind long, prints binary, sizes binary, copies binary, tokens binary, places binary, rests binary"
+
+
+def one_block(held: list[tuple]) -> tuple:
+    """The row of a block: each token that some member has in its prefix, with its first and last place there and
+    the most tokens that follow it, as first, last and rest; all of them in the order that all sets share."""
+    prints, sizes, copies, behind, tokens = zip(*held)
+    parts = [np.frombuffer(x, "<u8") for x in tokens]
+    token, n = np.concatenate(parts), np.array([len(x) for x in parts])
+    row, last = ragged(n)
+    rest, first = (np.array(behind) + n)[row] - 1 - last, last
+    if len(parts) > 1:
+        order = np.argsort(token, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+        token, first = token[order][start], np.minimum.reduceat(last[order], start)
+        last, rest = np.maximum.reduceat(last[order], start), np.maximum.reduceat(rest[order], start)
+    bid = int.from_bytes(prints[0][:8], "little", signed=True)
+    places = np.stack([first, last], 1).astype("<u4").tobytes()
+    return bid, len(held), min(sizes), max(sizes), max(behind), b"".join(prints), np.array(sizes, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), token.tobytes(), places, rest.astype("<u4").tobytes()
 
 
 def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets in the order of (lead, salt) to blocks of one lead: tokens are those that some member has in its prefix."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+    """Sets in the order of (lead, salt), the largest first, to blocks of one lead.
+
+    A set joins the first open block whose leader is no larger than it divided by ALIKE and shares so much of the
+    longer prefix; else it opens one. So members lie near their leader, and the bounds of a block are theirs.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 6
     names = [x.split()[0] for x in BLOCK.split(", ")]
+    key, held = None, []
 
-    def row(held: list[tuple]) -> tuple:
-        prints, sizes, copies, behind, tokens = zip(*held)
-        bid = int.from_bytes(prints[0][:8], "little", signed=True)
-        token = np.frombuffer(tokens[0], "<u8") if len(tokens) == 1 else np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in tokens]))
-        return bid, len(held), min(sizes), max(sizes), max(behind), b"".join(prints), np.array(sizes, "<i8").tobytes(), np.array(copies, "<i8").tobytes(), token.tobytes()
+    def batch_of(done: list[list[tuple]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*map(one_block, done)), kinds)], names=names)
 
-    key, held = None, []
     for batch in batches:
         done = []
         for lead, salt, *one in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-            if held and ((lead, salt) != key or len(held) == MEMBERS):
-                done.append(row(held))
-                held = []
-            key = (lead, salt)
-            held.append(tuple(one))
+            if (lead, salt) != key:
+                done += [block for *_, block in held]
+                key, held = (lead, salt), []
+            mine = np.sort(np.frombuffer(one[4], "<u8"))
+            for i, (n, leader, block) in enumerate(held):
+                if one[1] >= ALIKE * n and overlap(mine, leader) >= ALIKE * max(len(mine), len(leader)):
+                    block.append(tuple(one))
+                    if len(block) == MEMBERS:
+                        done.append(held.pop(i)[2])
+                    break
+            else:
+                if len(held) == OPEN:
+                    done.append(held.pop(0)[2])
+                held.append((one[1], mine, [tuple(one)]))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
+            yield batch_of(done)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(row(held)), kinds)], names=names)
+        yield batch_of([block for *_, block in held])
 
 
 def members_of(blocks: DataFrame) -> DataFrame:
@@ -206,33 +237,38 @@ def members_of(blocks: DataFrame) -> DataFrame:
 
 
 def postings(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Packed postings (b, tokens, which, meta): the blocks that hold each token, with their sizes."""
+    """Packed postings (b, tokens, which, places, rests, meta): the blocks that hold each token, and where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(4)]
             token, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            places, rests = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4") for i in (5, 6)]
             meta = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)], 1)
             b = ((token >> U(20)) % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            token, of, b = token[order], of[order], b[order]
+            token, of, b, places, rests = token[order], of[order], b[order], places.reshape(-1, 2)[order], rests[order]
             first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
             rows = []
             for i, j in zip(first.tolist(), np.append(first[1:], len(b)).tolist()):
                 used, at = np.unique(of[i:j], return_inverse=True)
-                rows.append((int(b[i]), token[i:j].tobytes(), at.astype("<u4").tobytes(), meta[used].tobytes()))
+                rows.append((int(b[i]), token[i:j].tobytes(), at.astype("<u4").tobytes(), places[i:j].tobytes(), rests[i:j].tobytes(), meta[used].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 3)], names=["b", "tokens", "which", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], names=["b", "tokens", "which", "places", "rests", "meta"])
 
-    return blocks.select("bid", "smallest", "largest", "behind", "tokens").mapInArrow(run, "b int, tokens binary, which binary, meta binary")
+    return blocks.select("bid", "smallest", "largest", "behind", "tokens", "places", "rests").mapInArrow(run, "b int, tokens binary, which binary, places binary, rests binary, meta binary")
 
 
 def meet(percent: int):
-    """Pairs of blocks that share prefix tokens of a bucket, and how many; lists are skipped by size.
-
-    A list is sorted by the smallest set of each block, so those that a posting may pair with are one stretch of
-    it. `least` is what two linked sets must share in their prefixes: their overlap is at most that and the
-    tokens behind one of the prefixes.
+    """Pairs of blocks that share prefix tokens of a bucket, and how many; lists are skipped by position and size.
+
+    Two linked sets of sizes x and y share at least t / (1 + t) * (x + y) tokens. If they share one that stands
+    at places p and q, their overlap is at most min(p, q) + 1 + the fewer of the tokens that follow it. A list is
+    cut by the power of two that q lies under, and each cut is sorted by the smallest set of a block. From p
+    follows how large a set must be for its place in a cut, so that cuts are passed over as a whole or entered at
+    that size; what is left is held against the bound with its own places. Nothing is skipped that a linked pair
+    has in common. `least` is what two linked sets must share in their prefixes: their overlap is at most that
+    and the tokens behind one of the prefixes.
     """
     t = percent / 100
 
@@ -242,33 +278,56 @@ def meet(percent: int):
         of = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") + o for x, o in zip(table["which"], base)])
         bid, low, high, behind = np.concatenate(metas).T
         token = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["tokens"]])
-        order = np.lexsort((of, low[of], token))
-        token, of = token[order], of[order]
+        begin, last = np.concatenate([np.frombuffer(x.as_buffer(), "<u4").reshape(-1, 2) for x in table["places"]]).astype(np.int64).T
+        rest = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["rests"]]).astype(np.int64)
+        cut = np.frexp(begin + 1.0)[1].astype(np.int64) - 1  # 2^cut - 1 <= begin
+        cuts, span = int(cut.max()) + 1, int(low.max()) + 2
+        order = np.lexsort((of, low[of], cut, token))
+        token, of, last, rest, cut = token[order], of[order], last[order], rest[order], cut[order]
         m = len(token)
         new = np.ones(m, bool)
         new[1:] = token[1:] != token[:-1]
-        end = np.append(np.flatnonzero(new)[1:], m)[np.cumsum(new) - 1]
-        span = low.max() + 2
-        listed = (np.cumsum(new) - 1) * span
-        # the end of the stretch, found in one search over (list, size)
-        reach = np.searchsorted(listed + low[of], listed + np.minimum(np.floor(high[of] / t + EPS).astype(np.int64), span - 1), "right")
-        width = np.maximum(np.minimum(reach, end) - np.arange(m) - 1, 0)
+        listed = np.cumsum(new) - 1
+        alone = np.bincount(listed)[listed] == 1
+        place = (listed * cuts + cut) * span + low[of]
+        upper = np.minimum(np.floor(high[of] / t + EPS).astype(np.int64), span - 1)
+        starts, widths = [], []
+        for q in range(cuts):
+            use = np.flatnonzero((cut <= q) & ~alone)
+            mine = of[use]
+            # a block at place 2^q - 1 or later: its largest set is at least so large, its smallest no less than ALIKE of that
+            need = t * low[mine] + (1 + t) * np.maximum(0, (1 << q) - 1 - last[use])
+            lower = np.ceil(ALIKE * need - EPS).astype(np.int64)
+            at = (listed[use] * cuts + q) * span
+            go = lower <= upper[use]
+            use, at, lower = use[go], at[go], lower[go]
+            lo = np.searchsorted(place, at + lower, "left")
+            hi = np.searchsorted(place, at + upper[use], "right")
+            lo = np.where(cut[use] == q, np.maximum(lo, use + 1), lo)
+            some = hi > lo
+            starts.append(np.stack([use[some], lo[some]], 1))
+            widths.append((hi - lo)[some])
+        start, width = np.concatenate(starts), np.concatenate(widths)
         upto, lo = np.concatenate([[0], np.cumsum(width)]), 0
         code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
-        while lo < m:
+        while lo < len(width):
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
-            row, place = ragged(width[lo:hi])
-            a, b = of[lo + row], of[lo + row + 1 + place]
+            row, step = ragged(width[lo:hi])
+            x, y = start[lo + row, 0], start[lo + row, 1] + step
+            a, b = of[x], of[y]
+            most = np.minimum(last[x], last[y]) + 1 + np.minimum(rest[x], rest[y])
+            fit = (a != b) & (most >= t / (1 + t) * (low[a] + low[b]) - EPS) & (high[a] >= t * low[b] - EPS) & (high[b] >= t * low[a] - EPS)
+            a, b = a[fit], b[fit]
             held.append(np.minimum(a, b).astype(np.int64) * len(bid) + np.maximum(a, b))
             lo = hi
-            if lo == m or sum(map(len, held)) > PAIRS:
+            if lo == len(width) or sum(map(len, held)) > PAIRS:
                 mine, n = np.unique(np.concatenate(held), return_counts=True)
                 code, at = np.unique(np.concatenate([code, mine]), return_inverse=True)
                 count, held = np.bincount(at, np.concatenate([count, n])).astype(np.int64), []
         a, b = code // len(bid), code % len(bid)
-        fit = (bid[a] != bid[b]) & (high[a] >= t * low[b] - EPS) & (high[b] >= t * low[a] - EPS)
-        a, b, count = a[fit], b[fit], count[fit]
+        apart = bid[a] != bid[b]
+        a, b, count = a[apart], b[apart], count[apart]
         least = np.ceil(t / (1 + t) * (low[a] + low[b]) - np.maximum(behind[a], behind[b]) - EPS).astype(np.int64)
         x, y = np.minimum(bid[a], bid[b]), np.maximum(bid[a], bid[b])
         return pa.table([pa.array(c) for c in (x, y, count, least)], names=["a", "b", "common", "least"])
@@ -367,24 +426,26 @@ def verify(percent: int):
 def tasks(blocks: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where pairs of blocks are looked at, (task, part, a, b), and the blocks that go there, (task, part, bid).
 
-    Blocks that pairs join are looked at together, so each set travels once. Where more than GATHER sets hang
-    together, each pair goes to the larger of its blocks instead, and its guests are dealt to several parts.
+    Blocks that pairs join are looked at together, so each set travels once. Where more than GATHER tokens hang
+    together, the blocks are dealt to cells of about GUESTS, and a pair is looked at where its two cells meet: a
+    set travels to the cells that it has a pair in, not once a pair.
     """
-    size = blocks.select("bid", "members")
-    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = size.join(roots.select(F.col("v").alias("bid"), "root"), "bid", "left").withColumn("root", F.coalesce("root", "bid"))
-    total = placed.groupBy("root").agg(F.sum("members").alias("total"))
-    placed = written(placed.join(total, "root"), "placed")
-    own = placed.where("members > 1").select("root", "total", F.col("bid").alias("a"), F.col("bid").alias("b"), F.col("members").alias("na"), F.col("members").alias("nb"))
-    sizes = placed.select("root", "total", F.col("bid").alias("a"), F.col("members").alias("na"))
-    cross = pairs.join(sizes, "a").join(size.toDF("b", "nb"), "b").select(own.columns)
-    every = own.union(cross)
-    near = every.where(F.col("total") <= GATHER).select(F.col("root").alias("task"), F.lit(0).alias("part"), "a", "b")
-    first = F.col("na") >= F.col("nb")
-    far = every.where(F.col("total") > GATHER).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), F.least("na", "nb").alias("m"))
-    parts = far.groupBy("host").agg(F.ceil(F.sum("m") / GUESTS).cast("int").alias("parts"))
-    far = far.join(parts, "host").select(F.col("host").alias("task"), F.pmod(F.xxhash64("guest"), "parts").cast("int").alias("part"), F.col("host").alias("a"), F.col("guest").alias("b"))
-    work = written(near.union(far), "tasks")
+    size = blocks.select("bid", "members", (F.col("members") * F.col("largest")).alias("tokens"))
+    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(edges)
+    placed = written(size.join(roots.select(F.col("v").alias("bid"), "root"), "bid", "left").withColumn("root", F.coalesce("root", "bid")), "rooted")
+    drop_written(roots)
+    total = F.sum("tokens")
+    cells = placed.groupBy("root").agg(F.when(total <= GATHER, 1).otherwise(F.ceil(total / GUESTS)).cast("int").alias("cells"))
+    cell = F.when(F.col("cells") == 1, 0).otherwise(F.pmod(F.xxhash64("bid"), "cells").cast("int"))
+    cells = written(placed.join(cells, "root").select("bid", "members", "root", "cells", cell.alias("cell")), "placed")
+    drop_written(placed)
+    part = lambda x, y: F.least(x, y).cast("long") * F.col("cells") + F.greatest(x, y)
+    own = cells.where("members > 1").select(F.col("root").alias("task"), part("cell", "cell").alias("part"), F.col("bid").alias("a"), F.col("bid").alias("b"))
+    left = cells.select("root", "cells", F.col("bid").alias("a"), F.col("cell").alias("cell_a"))
+    cross = pairs.join(left, "a").join(cells.select(F.col("bid").alias("b"), F.col("cell").alias("cell_b")), "b")
+    work = written(own.union(cross.select(F.col("root").alias("task"), part("cell_a", "cell_b").alias("part"), "a", "b")), "tasks")
+    drop_written(cells)
     go = work.select("task", "part", F.col("a").alias("bid")).union(work.select("task", "part", F.col("b").alias("bid"))).distinct()
     return work, go
 
@@ -402,7 +463,7 @@ def whole_sets(rows: DataFrame, size: int) -> DataFrame:
                 tokens = pa.array([data[8 * i : 8 * j] for i, j in zip(ends, ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(6)], tokens], names=["task", "part", "bid", "fp", "n", "copies", "tokens"])
 
-    return rows.select("task", "part", "bid", "fp", "n", "copies", "text").mapInArrow(run, "task long, part int, bid long, fp binary, n long, copies long, tokens binary")
+    return rows.select("task", "part", "bid", "fp", "n", "copies", "text").mapInArrow(run, "task long, part long, bid long, fp binary, n long, copies long, tokens binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -419,7 +480,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        e, old = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), e
+        drop_written(old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
         if now == before:
             break
@@ -428,36 +490,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
-    """(id, h, n, n_similar, component_id, root) of every row; root names its component, null for an empty set."""
+    """(id, h, n, n_similar, component_id, root) of every row; root names its component, null for an empty set.
+
+    A written table; all tables that it takes are removed.
+    """
     t, groups = grouped(docs, doc_id, text, [])
     d = written(describe(docs, doc_id, text, groups, size), "sets")
     one = F.min(F.struct("g", "id", "h")).alias("one")
     classes = d.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), one)
     classes = written(classes.select("fp", "copies", "first_id", "one.g", "one.id", "one.h"), "classes")
-    v = survivors(t, classes.select("g", "fp", "copies"), groups, size, percent)
+    v = survivors(t, classes.select("g", "fp", "copies"), buckets_of(groups), size, percent)
 
     parts = partitions(docs.sparkSession)
     v = v.repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt", F.desc("n"), "fp")
     blocks = written(v.select("lead", "salt", "fp", "n", "copies", "behind", "tokens").mapInArrow(build_blocks, BLOCK), "blocks")
-    met = postings(blocks, max(parts, groups)).groupBy("b").applyInArrow(meet(percent), "a long, b long, common long, least long")
+    met = postings(blocks, max(parts, buckets_of(groups))).groupBy("b").applyInArrow(meet(percent), "a long, b long, common long, least long")
     pairs = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("least").alias("least")).where("common >= least").select("a", "b")
+    pairs = written(pairs, "pairs")
 
-    work, go = tasks(blocks, written(pairs, "pairs"))
+    work, go = tasks(blocks, pairs)
     wanted = go.join(members_of(blocks), "bid").join(classes.select("fp", F.col("id").alias("key_id"), F.col("h").alias("key_h")), "fp")
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = keys = written(wanted, "wanted")
+    if keys.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(keys)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("h") == F.col("key_h")))
     sets = whole_sets(rows, size).groupBy("task", "part")
     found = written(sets.cogroup(work.groupBy("task", "part")).applyInArrow(verify(percent), "fp binary, other binary, linked long"), "links")
+    for table in (blocks, pairs, work, keys):
+        drop_written(table)
 
     linked = found.groupBy("fp").agg(F.sum("linked").alias("linked"))
     roots = components(found.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v")))
     member = classes.select("fp", "copies", "first_id").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = member.join(smallest, "root").join(linked, "fp", "left").select("fp", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
-    return d.join(member, "fp", "left").select("id", "h", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    out = d.join(member, "fp", "left").select("id", "h", "n", F.when(F.col("n") == 0, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    out = written(out, "joined")
+    for table in (d, classes, found, roots):
+        drop_written(table)
+    return out
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -486,10 +558,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     and text one. Documents without words are linked with nothing and stay. What goes is small beside the texts:
     its keys are broadcast below BROADCAST_ROWS and joined by a shuffle beyond that.
     """
-    d = written(joined(docs, text, doc_id, size, percent).where("root is not null").groupBy("root", "id", "h").agg(F.count("*").alias("rows")), "members")
+    every = joined(docs, text, doc_id, size, percent)
+    d = members = written(every.where("root is not null").groupBy("root", "id", "h").agg(F.count("*").alias("rows")), "members")
+    drop_written(every)
     first = d.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     d = d.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
     d = written(d.where("not stays or rows > 1").select(F.col("id").alias("key_id"), F.col("h").alias("key_h"), "stays"), "leaving")
+    drop_written(members)
     if d.count() <= BROADCAST_ROWS:
         d = F.broadcast(d)
     on = docs[doc_id].cast("long").eqNullSafe(d["key_id"]) & (F.xxhash64(docs[text]) == d["key_h"])

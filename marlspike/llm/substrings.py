@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import mix, ragged, windows
-from ._exchange import Group, U, answer_counts, composite, grouped, in_order, pack
+from ._exchange import Group, U, answer_counts, buckets_of, composite, grouped, in_order, pack
 
 WINDOW = 20
 ROUNDS = 5  # of pairs, after one of runs
@@ -219,18 +219,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rest = [c for c in docs.columns if c not in (text, doc_id) and c.lower() not in ("n_words", "n_removed")]
     t, groups = grouped(docs, doc_id, text, rest)
+    buckets = buckets_of(groups)
 
     def send_symbols(key: tuple, table: pa.Table) -> pa.Table:
-        return pack(np.unique(_codes(Parsed(table, size).keys(), groups)), key[0].as_py())
+        return pack(np.unique(_codes(Parsed(table, size).keys(), buckets)), key[0].as_py())
 
     def send_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         none = np.zeros(0, U)
         if not table.num_rows or not answers.num_rows:
             return _pack_windows(none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64), 0)
         p = Parsed(table, size)
-        _, which, count = np.unique(_codes(p.keys(), groups), return_inverse=True, return_counts=True)
-        at = p.candidates(((in_order(answers) > 1) | (count > 1))[which])
-        bucket = (windows(p.words.hashes(1), size)[at] % U(groups)).astype(np.int64)
+        _, which, count = np.unique(_codes(p.keys(), buckets), return_inverse=True, return_counts=True)
+        at = p.candidates(((in_order(answers) > 0) | (count > 1))[which])
+        bucket = (windows(p.words.hashes(1), size)[at] % U(buckets)).astype(np.int64)
         window = windows(p.h, size)[at]
         new, order = p.earliest(at, window)
         one = order[new]
@@ -258,7 +259,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table([p.table["id"], kept_words(p, removed), *columns, pa.array(np.diff(of)), pa.array(lost)], names=["id", "text", *[f"rest_{i}" for i in range(len(rest))], "n_words", "n_removed"])
 
     sent = t.select("g", "id", "text").groupBy("g").applyInArrow(send_symbols, "b int, g int, keys binary")
-    answers = sent.groupBy("b").applyInArrow(answer_counts(4), "g int, b int, seen binary")
+    answers = sent.groupBy("b").applyInArrow(answer_counts, "g int, b int, seen binary")
     found = t.select("g", "id", "text").groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(send_windows, "b int, g int, keys binary, names binary, which binary, start binary")
     late = found.groupBy("b").applyInArrow(_later, "g int, keys binary")
     kinds = "".join(f"rest_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
