@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from ._shared import fresh, running_sum, words, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words the mix takes, as a share of all words
 MOST = 2  # laps at most over one source
-BLOCK = 8192  # words of a block
+BLOCK = 8192  # words of a block, about
+SLOTS = 1024  # of a mix, at least, so that a small mix is mixed finely too
 GOLDEN = 0.6180339887498949
-POINTS = 64  # cells of the unit interval in which points meet sources
+CELLS = 64  # of the unit interval in which points meet sources, at least
 
 
 def count_words(text: Column) -> Column:
@@ -42,49 +45,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def slot_schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(source, nth, slot): the slots of the mix dealt by golden-ratio points through the cumulative targets.
 
-    Slot t has the point frac(t * golden); the source whose interval holds it gets the slot, as its nth. Points
-    and intervals meet on cells of the unit interval, and ranks are taken over cells of slots, so a source may
-    own any share. A few more slots are dealt than blocks are due; blocks() puts a block without one at the end.
+    There is a slot for every `block` words of the mix, and SLOTS at least. Slot t has the point frac(t * golden);
+    the source whose interval holds it gets the slot, as its nth. A source so small that no point falls into its
+    interval gets one slot after all others. Points and intervals meet on cells of the unit interval, as many as
+    there are sources, and ranks are taken over cells of slots, so a source may own any share.
     """
     spark, span = targets.sparkSession, 1 << 16
-    total = targets.agg(F.sum("target")).head()[0] or 0.0
-    sources = targets.where("target > 0")
+    total, count = targets.where("target > 0").agg(F.sum("target"), F.count("*")).head()
+    slots, cells = max(SLOTS, math.ceil((total or 0.0) / block)), max(CELLS, count)
     up = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    sources = sources.withColumn("high", F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1.0))
-    sources = sources.withColumn("low", F.lag("high", 1, 0.0).over(up))
-    sources = sources.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * POINTS), F.floor(F.col("high") * POINTS))).alias("at"))
-    points = spark.range(int(total / block * 1.02) + 64).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % 1.0).alias("u"))
-    points = points.withColumn("at", F.floor(F.col("u") * POINTS))
-    dealt = points.join(sources, "at").where("u >= low and u < high").select("source", "slot", F.floor(F.col("slot") / span).alias("cell"), F.lit(1).alias("one"))
-    return running_sum(dealt, ["source"], "cell", ["slot"], "one", "nth").select("source", "nth", "slot")
+    before = F.coalesce(F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sources = targets.where("target > 0").select("source", (before / F.lit(total or 1.0)).alias("low"), F.row_number().over(up).alias("place"))
+    sources = sources.withColumn("high", F.lead("low", 1, 2.0).over(up))
+    at = F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.least("high", F.lit(1.0)) * cells))).alias("at")
+    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % 1.0).alias("u"))
+    points = points.withColumn("at", F.floor(F.col("u") * cells))
+    dealt = points.join(sources.select("source", "low", "high", at), "at").where("u >= low and u < high").select("source", "slot", F.floor(F.col("slot") / span).alias("cell"), F.lit(1).alias("one"))
+    dealt = written(running_sum(dealt, ["source"], "cell", ["slot"], "one", "nth").select("source", "nth", "slot"), "slots")
+    some = dealt.select(F.col("source").alias("source_")).distinct()
+    none = sources.join(some, sources["source"].eqNullSafe(some["source_"]), "left_anti")
+    return dealt.unionByName(none.select("source", F.lit(0).alias("nth"), (F.lit(slots - 1) + F.col("place")).alias("slot")))
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """What of each row the mix takes, and where: one row for each piece of (key, source, size, h, tie).
+    """What of each row the mix takes, and where: one row for each lap over a row of (key, source, size, h, tie).
 
     Each source is a stream: its rows by (h, tie), read again from the start after the last, `most` laps at
-    most. Words of the stream up to the target are cut into blocks of `block` words, and the nth block takes the
-    nth slot of its source. Adds source_size, target, lap, nth, piece (words) and slot; a row of which nothing
-    is taken has one row with piece 0 and a null slot.
+    most. Its words up to the target are cut into as many equal blocks as the points deal slots to the source, and
+    the nth block takes the nth slot. Low discrepancy keeps the blocks of all sources near `block` words. Adds
+    source_size, target, lap, piece (words) and slot, that of the block in which the piece begins; a row of which
+    nothing is taken has one row with piece 0 and a null slot.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(by, weights, share, most), "targets")
+    s = slot_schedule(targets, block).select(F.col("source").alias("source_"), F.col("nth").alias("nth_"), "slot")
+    dealt = s.groupBy("source_").agg(F.count("*").alias("dealt"))
+    t = targets.join(dealt, targets["source"].eqNullSafe(dealt["source_"]), "left").select(F.col("source").alias("source_"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.floor("target") / F.coalesce("dealt", F.lit(1)))).cast("long").alias("each"))
     cell = F.shiftright(F.conv(F.substring("h", 1, 3), 16, 10).cast("long"), 2)  # 1024 cells of hash order
     d = running_sum(sizes.withColumn("cell", cell), ["source"], "cell", ["h", "tie"], "size", "before")
-    t = targets.select(F.col("source").alias("source_"), "source_size", "target")
     d = d.join(t, d["source"].eqNullSafe(t["source_"]), "left").drop("source_", "cell")
     laps = F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int") - 1
     d = d.withColumn("lap", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), laps))))
     d = d.withColumn("begin", F.col("lap") * F.col("source_size") + F.col("before"))
-    d = d.withColumn("end", F.least(F.col("begin") + F.col("size"), F.floor("target")))
-    blocks = F.when(F.col("end") > F.col("begin"), F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))
-    d = d.withColumn("nth", F.explode_outer(blocks))
-    piece = F.least("end", (F.col("nth") + 1) * block) - F.greatest("begin", F.col("nth") * block)
-    d = d.withColumn("piece", F.when(F.col("nth").isNull(), 0).otherwise(piece))
-    s = slot_schedule(targets, block).select(F.col("source").alias("source_"), F.col("nth").alias("nth_"), "slot")
+    d = d.withColumn("piece", F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.floor("target")) - F.col("begin")))
+    d = d.where("piece > 0 or lap = 0").withColumn("nth", F.when(F.col("piece") > 0, F.floor(F.col("begin") / F.col("each"))))
     out = d.join(s, d["source"].eqNullSafe(s["source_"]) & (d["nth"] == s["nth_"]), "left")
-    slot = F.when(F.col("nth").isNotNull(), F.coalesce("slot", F.lit(2**40) + F.col("nth")))
-    return out.withColumn("slot", slot).drop("source_", "nth_", "before", "begin", "end")
+    return out.drop("source_", "nth", "nth_", "before", "begin", "each")
 
 
 def order_hash(doc_id: Column) -> Column:
@@ -94,21 +100,24 @@ def order_hash(doc_id: Column) -> Column:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """The documents of the mix: the columns of `docs`, a row for each lap that takes words of a document.
 
-    Adds mix_lap, mix_slot (the first slot that the document lies in: the order of the mix) and mix_words. A
-    document of which only the first words are taken, one for each source, has its text cut to these, joined by
-    one space. A null text has size 0; documents of size 0, or that no lap reaches, are left out. A null source
-    is a source. Repeated rows are documents of their own. Reruns agree, since order and slots come from hashes.
+    Adds mix_lap, mix_slot (the slot that the document begins in: the order of the mix) and mix_words. A document
+    of which only the first words are taken, one for each source, has its text cut to these, joined by one space;
+    a document longer than a block keeps its place at the slot of its first word. A null text has size 0;
+    documents of size 0, or that no lap reaches, are left out. A null source is a source. Repeated rows are
+    documents of their own, in the order of all their columns. Columns of the three names are replaced, others
+    may have any name. An empty table gives an empty result. Reruns agree: order comes from hashes, slots from
+    points.
     """
     h, n = fresh(docs, "mix_h"), fresh(docs, "mix_copy")
-    alike = Window.partitionBy(f"`{doc_id}`", h, f"`{source}`").orderBy(F.lit(0))
+    alike = Window.partitionBy(f"`{doc_id}`", h, f"`{source}`").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.typeName().startswith("map")]))
     keyed = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).withColumn(n, F.row_number().over(alike))
     sizes = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{source}`").alias("source"), count_words(F.col(f"`{text}`")).alias("size"))
     sizes = sizes.groupBy("id", "tie", "source", "size").agg(F.count("*").alias("copies"))
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     sizes = written(sizes.select("id", "tie", "source", copies, "size", order_hash(F.col("id")).alias("h")), "sizes")
     plan = mix_plan(sizes, weights, share, most, block).where("piece > 0")
-    plan = plan.groupBy("id", "tie", "source", "size", "copy", "lap").agg(F.sum("piece").alias("words"), F.min("slot").alias("slot"))
-    plan = plan.select(*[F.col(c).alias(f"mix_plan_{c}") for c in plan.columns])
+    plan = plan.withColumnRenamed("piece", "words")
+    plan = plan.select(*[F.col(c).alias(f"mix_plan_{c}") for c in ("id", "tie", "source", "size", "copy", "lap", "words", "slot")])
     on = keyed[doc_id].eqNullSafe(plan["mix_plan_id"]) & (keyed[h] == plan["mix_plan_tie"]) & keyed[source].eqNullSafe(plan["mix_plan_source"]) & (keyed[n] == plan["mix_plan_copy"])
     cut = F.when(F.col("mix_plan_words") < F.col("mix_plan_size"), F.array_join(F.slice(words(F.col(f"`{text}`")), F.lit(1), F.col("mix_plan_words").cast("int")), " ")).otherwise(F.col(f"`{text}`"))
     mine = {"mix_lap": "lap", "mix_slot": "slot", "mix_words": "words"}
@@ -120,7 +129,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("tie"))
     sizes = written(sizes, "sizes")
-    return mix_plan(sizes).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("piece").alias("taken")).drop("row")
+    return mix_plan(sizes).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("piece").alias("taken"), F.min("slot").alias("slot")).drop("row")
 
 
 ORACLE_SQL = r"""
@@ -137,12 +146,33 @@ WITH d AS (
   SELECT min_by((budget - filled) / open_, full_ / weight) AS level FROM f WHERE (budget - filled) / open_ * weight < full_
 ), t AS (
   SELECT source, source_size, least(full_, coalesce((SELECT level FROM l) * weight, full_)) AS target FROM f
+), i AS (
+  SELECT source, target, row_number() OVER w AS place, coalesce(sum(target) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS low
+  FROM t WHERE target > 0 WINDOW w AS (ORDER BY source IS NULL, source)
+), v AS (
+  SELECT *, lead(low, 1, 2.0) OVER (ORDER BY place) AS high FROM i
+), n AS (
+  SELECT greatest(1024, ceil(sum(target) / 8192))::BIGINT AS slots FROM i
+), p AS (
+  SELECT slot, (slot * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(slots)) AS slot FROM n)
+), g AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth FROM p JOIN v ON u >= low AND u < high
+), a AS (
+  SELECT source, slot, nth FROM g
+  UNION ALL SELECT source, (SELECT slots FROM n) - 1 + place, 0 FROM v WHERE NOT EXISTS (FROM g WHERE g.source IS NOT DISTINCT FROM v.source)
+), b AS (
+  SELECT source, greatest(1, ceil(floor(any_value(target)) / count(*)))::BIGINT AS each_ FROM a JOIN v USING (source) GROUP BY source
+  UNION ALL SELECT NULL, greatest(1, ceil(floor(any_value(target)) / count(*)))::BIGINT FROM a JOIN v ON a.source IS NULL AND v.source IS NULL HAVING count(*) > 0
 ), o AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, d.source, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, (greatest(0, least(before + size, floor(target)) - before) + greatest(0, least(source_size + before + size, floor(target)) - source_size - before))::BIGINT AS taken,
+         CASE WHEN size > 0 AND before < floor(target) THEN before END AS begin_
+  FROM o
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(before + size, floor(target)) - before) + greatest(0, least(source_size + before + size, floor(target)) - source_size - before))::BIGINT AS taken
-FROM o
+SELECT doc_id, size, source_size, target, taken, slot
+FROM x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source
+LEFT JOIN a ON a.source IS NOT DISTINCT FROM x.source AND a.nth = begin_ // each_
 """
