@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,12 +72,18 @@ class TextModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> TextModel:
-    """The trigram model of at most `sample` labelled rows, those with the smallest hash of their text.
+    """The trigram model of at most `sample` labelled rows, those with the smallest hash of their columns.
 
-    The sample is counted on the executors; one table of counts a language and task comes to the driver.
+    Rows below a bound on the hash, half as many again as are wanted, are found where they lie, so few travel and
+    none but the sample's texts meet. The sample is counted on the executors; one table of counts a language and
+    task comes to the driver. A language without rows gives no text evidence; without any labelled row, as in an
+    empty table, no language does.
     """
-    rows = docs.where(F.col(f"`{lang}`").isin(list(languages)) & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(sample).repartition(4, F.xxhash64("text"))
+    rows = docs.where(F.col(f"`{lang}`").isin(list(languages)) & F.col(f"`{text}`").isNotNull())
+    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.typeName().startswith("map")])
+    rows = rows.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), key.alias("key"))
+    bound = math.ceil(min(1.0, 1.5 * sample / max(1, rows.count())) * 2**32)
+    rows = rows.where(F.pmod("key", F.lit(2**32)) < bound).orderBy("key").limit(sample).repartition(4, "key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(BINS, np.int64) for k in languages}
@@ -121,8 +128,10 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
 
     A row is accepted if its class is a language and has at least `least` of the posterior. A null or empty text
     has no text evidence; a null declared language or host gives none either (null hosts share one prior). With
-    no evidence at all the row is not accepted unless the priors decide. Repeated rows are kept; columns of the
-    input with the three names are replaced.
+    no evidence at all the priors decide: the row is accepted if one language has `least` of its host's. Every
+    text is read whole, a very long one as a range of its own. Of equal posteriors the first class wins. Repeated
+    rows are kept; columns of the input with the three names are replaced, others may have any name. An empty
+    table gives an empty result.
     """
     k = len(model.classes)
     keep = [c for c in docs.columns if c.lower() not in ("found_lang", "confidence", "accepted")]
