@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._bytes import Words, find_words, lowered, span_hashes, utf8
 from ._shared import partitions
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 GROUPS_A_BUCKET = 8
 LOW = np.uint64((1 << 32) - 1)
 LAST = np.iinfo(np.int64).max

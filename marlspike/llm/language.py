@@ -58,7 +58,7 @@ class TextModel:
     def log_likelihood(self, column: pa.Array, markup: bool) -> np.ndarray:
         """One row a text and one column a class; trigrams beyond MOST_TRIGRAMS only sharpen the mean."""
         out = np.zeros((len(column), len(self.classes)))
-        for lo, hi in slices(column, 4 << 20):
+        for lo, hi in slices(column, 1 << 20):
             part = column.slice(lo, hi - lo)
             if markup:
                 part = pa.array([None if p is None else strip_markup(p) for p in part.to_pylist()], pa.large_string())
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", languages: tupl
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(BINS, np.int64) for k in languages}
         for whole in batches:
-            for lo, hi in slices(whole.column(1), 4 << 20):
+            for lo, hi in slices(whole.column(1), 1 << 20):
                 bins, of = trigrams(*utf8(whole.column(1).slice(lo, hi - lo)))
                 row = np.repeat(np.arange(hi - lo), np.diff(of))
                 names = np.asarray(whole.column(0).slice(lo, hi - lo))

@@ -78,7 +78,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, groups: int, size: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo, hi in slices(whole.column(3), 4 << 20):
+            for lo, hi in slices(whole.column(3), 2 << 20):
                 part = whole.slice(lo, hi - lo)
                 raw, at = utf8(part.column(3))
                 s = Sets(find_words(lowered(raw), at), size)
@@ -455,7 +455,7 @@ def whole_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo, hi in slices(whole.column(6), 4 << 20):
+            for lo, hi in slices(whole.column(6), 2 << 20):
                 part = whole.slice(lo, hi - lo)
                 raw, at = utf8(part.column(6))
                 s = Sets(find_words(lowered(raw), at), size)

@@ -183,7 +183,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     round_trip tells whether the ids decode to the normalised text; it is false where an unknown piece stands
     for characters that the model cannot write, or where the text itself holds the metaspace mark. A null text has null ids, 0 tokens and a null round_trip, an
     empty one empty ids. Repeated rows are kept; columns of the input with these names are replaced. Batches are
-    encoded in ranges of 8 MB of text, by as many threads as the library is allowed.
+    encoded in ranges of 2 MB of text, by as many threads as the library is allowed.
     """
     path = path or model_path()
     place = docs.columns.index(text)
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for lo, hi in slices(whole.column(place)):
+            for lo, hi in slices(whole.column(place), 2 << 20):
                 batch = whole.slice(lo, hi - lo)
                 column = batch.column(place)
                 ids, count = c.encode(column)
