@@ -17,5 +17,9 @@ class EngineClosedError(EngineError):
     """The engine was used after it was closed."""
 
 
+class EmbeddingError(EngineError):
+    """What an embedder returned are no vectors."""
+
+
 class VectorBackendError(EngineError):
     """A vector strategy is unknown or unusable."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import logging
 import re
 from collections.abc import Callable
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+Lemma = Callable[[str, str], str]
+log = logging.getLogger(__name__)
 CYRILLIC = r"Ѐ-ԯ"
 #: Latin letters with a mark and what is left without it; the letters of unicode text that decompose to ASCII.
 MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
@@ -87,6 +90,43 @@ def lemmatize(text: Column, lemma: Callable[[str, str], str] | None = None, lang
     return run(tokenize(text), lang)
 
 
+def lemmatizer_chain(*steps: Callable[[str, str], str | None]) -> Lemma:
+    """A lemma function that asks each step in turn: the first that knows the word decides, else it stays.
+
+    A step that raises is passed over for that word.
+    """
+
+    def run(word: str, lang: str) -> str:
+        for step in steps:
+            try:
+                if found := step(word, lang):
+                    return found
+            except Exception:
+                log.debug("a lemmatizer failed on %r", word, exc_info=True)
+        return word
+
+    return run
+
+
+def installed_lemmatizers() -> list[Callable[[str, str], str | None]]:
+    """Steps for the lemmatizers that can be imported here, those for one language first."""
+    steps: list[Callable[[str, str], str | None]] = []
+    try:
+        import pymorphy3
+
+        russian = pymorphy3.MorphAnalyzer()
+        steps.append(lambda w, lang: russian.parse(w)[0].normal_form if lang == "ru" else None)
+    except ImportError:
+        pass
+    try:
+        import simplemma
+
+        steps.append(lambda w, lang: simplemma.lemmatize(w, lang=lang))
+    except ImportError:
+        pass
+    return steps
+
+
 _OPERATORS = {"AND", "OR", "NOT", "NEAR"}
 _PUNCTUATION = str.maketrans({c: " " for c in "\"'()*^{}[]:+~|"})
 

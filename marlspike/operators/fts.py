@@ -39,6 +39,12 @@ def _occurrences(terms: Column, phrase: list[str]) -> Column:
     return F.size(at)
 
 
+def bm25(tf: list[str]) -> Column:
+    """The score from the columns `tf`, dl, n, avgdl and df_ before each name of tf."""
+    part = [idf(F.col("n"), F.col(f"df_{c}")) * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for c in tf]
+    return reduce(lambda a, b: a + b, part)
+
+
 def search(docs: DataFrame, query: str, limit: int | None = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score) of the documents that hold every phrase of the query, the best first by (score, doc_id).
 
@@ -54,6 +60,5 @@ def search(docs: DataFrame, query: str, limit: int | None = 20, text: str = "tex
         return base.where("false").select("doc_id", F.lit(0.0).alias("score"))
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in tf])
     hits = base.where(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf])).join(F.broadcast(stats))
-    part = [idf(F.col("n"), F.col(f"df_{c}")) * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for c in tf]
-    hits = hits.select("doc_id", reduce(lambda a, b: a + b, part).alias("score"))
+    hits = hits.select("doc_id", bm25(tf).alias("score"))
     return hits if limit is None else hits.orderBy(F.desc("score"), "doc_id").limit(limit)

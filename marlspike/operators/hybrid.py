@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import fts as fts_ops
-from . import fusion, vector
+from . import fusion, text_index, vector
 
 log = logging.getLogger(__name__)
 Reranker = Callable[[str, list[str]], list[float]]
@@ -63,13 +63,20 @@ def hybrid_search(
     strategy: str | vector.Strategy | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
+    terms: str | None = None,
+    lemma: T.Lemma | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """(doc_id, score, text, metadata, chunk_id): one lazy plan from both scans to the hydrated top.
 
     Without a query vector it is full-text search with raw scores and no reranking. Fusion works on ids; texts
-    are joined to the bounded pool only.
+    are joined to the bounded pool only. The query is cut into words and lemmatised by `lemma`, as the column
+    `terms` is that it is looked up in (the text itself, if not named). With `index`, the place of a stored
+    index of that column, no text is scanned.
     """
-    found = fts_ops.search(docs, query, fts_limit if query_vector is not None else limit, text, doc_id)
+    words = T.lemmatize_query(query, lemma)
+    count = fts_limit if query_vector is not None else limit
+    found = fts_ops.search(docs, words, count, terms or text, doc_id) if index is None else text_index.search(docs.sparkSession, index, words, count)
     if limit < 1:
         return hydrate(found.where("false"), docs, text, doc_id)
     if query_vector is None:
@@ -81,13 +88,14 @@ def hybrid_search(
     return rerank(rows, query, reranker, limit) if reranker else rows
 
 
-def federated_search(docs: DataFrame, query: str, database: str, limit: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def federated_search(docs: DataFrame, query: str, database: str, limit: int = 10, text: str = "text", doc_id: str = "doc_id", lemma: T.Lemma | None = None) -> DataFrame:
     """(database, doc_id, score): full-text search in every database on its own, the best of all merged.
 
     Databases are the values of a column: statistics are grouped by it, each database keeps its top `limit`,
-    and these are merged by score. One plan serves any number of databases.
+    and these are merged by score. One plan serves any number of databases. The query is lemmatised as in
+    hybrid_search().
     """
-    phrases = T.match_phrases(T.sanitize_query(query))
+    phrases = T.match_phrases(T.sanitize_query(T.lemmatize_query(query, lemma)))
     base = docs.select(F.col(database).alias("database"), F.col(doc_id).alias("doc_id"), T.index_terms(F.col(text)).alias("terms"))
     tf = [f"tf_{i}" for i in range(len(phrases))]
     base = base.select("database", "doc_id", F.size("terms").alias("dl"), *[fts_ops._occurrences(F.col("terms"), p).alias(c) for p, c in zip(phrases, tf)])
@@ -95,10 +103,6 @@ def federated_search(docs: DataFrame, query: str, database: str, limit: int = 10
         return base.where("false").select("database", "doc_id", F.lit(0.0).alias("score"))
     stats = base.groupBy("database").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in tf])
     hits = base.where(" and ".join(f"{c} > 0" for c in tf)).join(stats, "database")
-    k1, b = fts_ops.K1, fts_ops.B
-    score = F.lit(0.0)
-    for c in tf:
-        score = score + fts_ops.idf(F.col("n"), F.col(f"df_{c}")) * F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     best = Window.partitionBy("database").orderBy(F.desc("score"), "doc_id")
-    hits = hits.select("database", "doc_id", score.alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= limit).drop("nth")
+    hits = hits.select("database", "doc_id", fts_ops.bm25(tf).alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= limit).drop("nth")
     return hits.orderBy(F.desc("score"), "database", "doc_id").limit(limit)

@@ -88,6 +88,11 @@ def remove(vecs: DataFrame, ids: DataFrame, vec_id: str = "vec_id") -> DataFrame
     return vecs.join(ids.select(vec_id), vec_id, "left_anti")
 
 
+def fetch(vecs: DataFrame, ids: list[int], vec_id: str = "vec_id") -> DataFrame:
+    """The rows of these ids; the list reaches the scan as a filter."""
+    return vecs.where(F.col(vec_id).isin(list(ids)))
+
+
 def check_dimension(vecs: DataFrame, dimension: int, embedding: str = "embedding") -> None:
     """Raises DimensionError if a vector has another length."""
     bad = vecs.where(F.size(embedding) != dimension).select(F.size(embedding)).head()

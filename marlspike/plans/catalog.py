@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunkers as K
+from ..functions import embedding as E
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import fts, fusion, graph, hybrid, telemetry, vector
+from ..operators import fts, fusion, graph, hybrid, telemetry, text_index, vector
 from ..sources import corpus as C
+from ..sources.scratch import shared_folder
 from ..streaming import events as S
 
 QUERIES: dict = {}
@@ -189,6 +193,62 @@ def fts_only_search(spark, d):
     return rounded(found.select("doc_id", "score", F.md5("text").alias("digest")), "score")
 
 
+@query(_top(["ndon"]))
+def search_punctuation(spark, d):
+    return ranked(hybrid.hybrid_search(docs_(spark, d), vecs_(spark, d), "ndon?!", None, 10).select("doc_id", "score"))
+
+
+@query(_top(["ndon", "ntea"]))
+def search_one_letter(spark, d):
+    return ranked(hybrid.hybrid_search(docs_(spark, d), vecs_(spark, d), "a (ndon), b: ntea", None, 10).select("doc_id", "score"))
+
+
+def _without_on(word: str, lang: str) -> str:
+    return word[:-2] if word.endswith("on") and len(word) > 3 else word
+
+
+_LEMMAS = "list_transform(" + TOKENS.format(t="text") + ", lambda x: CASE WHEN x LIKE '%on' AND length(x) > 3 THEN x[:-3] ELSE x END)"
+
+
+@query(_top(["nd"]).replace(TOKENS.format(t="text"), _LEMMAS))
+def search_lemmas(spark, d):
+    docs = docs_(spark, d).withColumn("lemmas", T.lemmatize(F.col("text"), _without_on))
+    return ranked(hybrid.hybrid_search(docs, vecs_(spark, d), "Ndon.", None, 10, terms="lemmas", lemma=_without_on).select("doc_id", "score"))
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d: str, again: bool = False) -> str:
+    """The stored index of the documents of a folder, built once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if again or key not in _BUILT:
+        _BUILT[key] = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+        text_index.add(docs_(spark, d), _BUILT[key])
+    return _BUILT[key]
+
+
+@query(f"WITH {BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(terms) AS term FROM base) GROUP BY term")
+def fts_index_build(spark, d):
+    p = text_index.postings(spark, _index(spark, d, again=True))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(_top(["ndon"]))
+def fts_index_top10(spark, d):
+    return ranked(text_index.search(spark, _index(spark, d), "ndon", 10))
+
+
+@query(_top(["ndon", "ntea"]))
+def fts_index_and(spark, d):
+    return ranked(text_index.search(spark, _index(spark, d), "ndon ntea", 10))
+
+
+@query(_top(["the"], 20))
+def fts_index_common_term(spark, d):
+    return ranked(text_index.search(spark, _index(spark, d), "THE", 20), 20)
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------
 
 
@@ -524,6 +584,102 @@ def as_of_view(spark, d):
     return e.withColumn("last_view", seen).where("event_type = 'purchase'").select("event_id", "last_view")
 
 
+_CUBE = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"
+
+
+@query(_CUBE)
+def sql_cube(spark, d):
+    C.register(spark, d, ["lineitem"])
+    return spark.sql(_CUBE)
+
+
+_GROUPINGS = "SELECT l_returnflag, l_linenumber, grouping(l_linenumber) AS whole, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linenumber), (l_returnflag), ())"
+
+
+@query(_GROUPINGS.replace("grouping(l_linenumber)", "grouping(l_linenumber)::TINYINT"))
+def sql_grouping_sets(spark, d):
+    C.register(spark, d, ["lineitem"])
+    return spark.sql(_GROUPINGS)
+
+
+_OUTER = "SELECT s.s_nationkey AS nation_s, c.c_nationkey AS nation_c, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) s FULL OUTER JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1) c ON s.s_nationkey = c.c_nationkey"
+
+
+@query(_OUTER)
+def sql_outer_join(spark, d):
+    C.register(spark, d, ["supplier", "customer"])
+    return spark.sql(_OUTER)
+
+
+_CROSS = "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b WHERE a.r_name < b.r_name"
+
+
+@query(_CROSS)
+def sql_cross_join(spark, d):
+    C.register(spark, d, ["region"])
+    return spark.sql(_CROSS)
+
+
+@query("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)")
+def sql_natural_join(spark, d):
+    C.register(spark, d, ["nation", "region"])
+    return spark.sql("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)")
+
+
+@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users, coalesce(sum(value) FILTER (value > 1e9), 0.0::DOUBLE) AS total FROM events WHERE user_id < 30 GROUP BY event_type")
+def group_concat_total(spark, d):
+    users = F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users")
+    total = F.coalesce(F.sum(F.when(F.col("value") > 1e9, F.col("value"))), F.lit(0.0)).alias("total")
+    return events_(spark, d).where("user_id < 30").groupBy("event_type").agg(users, total)
+
+
+@query("SELECT true AS distinct_is_near, true AS median_is_near")
+def approximate_aggregates(spark, d):
+    e = events_(spark, d)
+    one = e.agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.percentile("value", 0.5).alias("x"), F.stddev_pop("value").alias("sd"))
+    return one.select((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("distinct_is_near"), (F.abs(F.col("m") - F.col("x")) <= 0.05 * F.col("sd")).alias("median_is_near"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents")
+def blob_length(spark, d):
+    return docs_(spark, d).select("doc_id", F.octet_length(F.col("text").cast("binary")).cast("long").alias("bytes"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id IN (3, 5, 8, 13)")
+def vector_fetch(spark, d):
+    return rounded(vector.fetch(vecs_(spark, d), [3, 5, 8, 13]).select("vec_id", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].cast("double").alias("x")), "x")
+
+
+@query("SELECT 10::BIGINT AS n, 10::BIGINT AS n_distinct, 10::BIGINT AS known")
+def random_sample(spark, d):
+    some = docs_(spark, d).orderBy(F.rand()).limit(10).select("doc_id")
+    known = docs_(spark, d).select("doc_id", F.lit(1).alias("k"))
+    return some.join(known, "doc_id", "left").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_distinct"), F.count("k").alias("known"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::INTEGER AS days, strftime(o_orderdate::DATE, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders")
+def date_scalars(spark, d):
+    o = C.read_table(spark, d, "orders")
+    day = F.col("o_orderdate").cast("date")
+    return o.select("o_orderkey", F.year(day).alias("y"), F.month(day).alias("m"), F.datediff(day, F.lit("1990-01-01").cast("date")).alias("days"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+_EXISTS = "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)"
+
+
+@query(_EXISTS)
+def sql_exists(spark, d):
+    C.register(spark, d, ["customer", "orders"])
+    return spark.sql(_EXISTS)
+
+
+@query("SELECT doc_id, [length(text)::FLOAT, (length(text) - length(replace(text, ' ', '')))::FLOAT]::VARCHAR AS v FROM documents")
+def embed_in_batches(spark, d):
+    embed = E.column_function(E.batch(lambda texts: [[len(t), t.count(" ")] for t in texts]))
+    v = F.concat(F.lit("["), F.array_join(F.transform(embed(F.col("text")), lambda x: x.cast("string")), ", "), F.lit("]"))
+    return docs_(spark, d).select("doc_id", v.alias("v"))
+
+
 # ---- graph -------------------------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), g AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM e QUALIFY rank <= 8)"

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..errors import SchemaError
 from ..functions import text as X
 from ..functions.chunkers import Chunker, chunks
+from ..functions.embedding import column_function
 from ..operators.vector import check_dimension
 
 CORPUS = T.StructType(
@@ -76,8 +77,8 @@ def ingest(
     doc_id: str = "doc_id",
     metadata: str | None = None,
     chunker: Chunker | None = None,
-    embed: Callable[[Column], Column] | None = None,
-    lemma: Callable[[str, str], str] | None = None,
+    embed: object | None = None,
+    lemma: X.Lemma | None = None,
     dimension: int | None = None,
     searchable: bool = True,
 ) -> DataFrame:
@@ -85,7 +86,8 @@ def ingest(
 
     Only leaves carry lemmas, embeddings and flags: a chunked parent is stored but never searched. Chunks have the
     parent's metadata and the ids parent * CHUNK_SPAN + 1, 2, ... in order. Content that is blank or holds NUL is
-    refused when the table is evaluated. A dimension locks the length of embeddings.
+    refused when the table is evaluated. A dimension locks the length of embeddings. `embed` is a function of
+    columns, batch() around a function of texts, or an Embedder; parents never reach it, nor `lemma`.
     """
     meta = F.col(metadata) if metadata else F.lit("{}")
     content = F.when(valid_content(F.col(text)), F.col(text)).otherwise(F.raise_error(F.lit("content is empty or holds NUL")))
@@ -97,21 +99,22 @@ def ingest(
         rows = base.select("doc", "metadata", F.posexplode(parts).alias("place", "content"))
         own = F.col("doc") * CHUNK_SPAN
         rows = rows.select((own + F.col("place")).alias("id"), "content", "metadata", F.when(F.col("place") > 0, own).alias("chunk_of"), (F.col("place") > 0).alias("leaf"))
-    vector = embed(F.col("content")).cast("array<float>") if embed else F.lit(None).cast("array<float>")
-    if dimension is not None and embed:
+    vector = column_function(embed)(F.col("content")).cast("array<float>") if embed is not None else F.lit(None).cast("array<float>")
+    if dimension is not None and embed is not None:
         vector = F.when(F.size(vector) == dimension, vector).otherwise(F.raise_error(F.lit(f"embedding is not of dimension {dimension}")))
-    leaf = F.col("leaf")
-    return rows.select(
-        "id",
-        "content",
-        F.when(leaf, X.lemmatize(F.col("content"), lemma)).alias("content_lemmatized"),
-        "metadata",
-        "chunk_of",
-        F.when(leaf, vector).alias("embedding"),
-        (leaf & F.lit(embed is not None)).alias("vec_indexed"),
-        (leaf & F.lit(searchable)).alias("fts_indexed"),
-        F.current_timestamp().alias("created_at"),
-    )
+    now = F.current_timestamp().alias("created_at")
+    made = [X.lemmatize(F.col("content"), lemma).alias("content_lemmatized"), "metadata", "chunk_of", vector.alias("embedding")]
+    own = rows.where("leaf").select("id", "content", *made, F.lit(embed is not None).alias("vec_indexed"), F.lit(searchable).alias("fts_indexed"), now)
+    if chunker is None:
+        return own
+    none = [F.lit(None).cast("string").alias("content_lemmatized"), "metadata", "chunk_of", F.lit(None).cast("array<float>").alias("embedding")]
+    return own.union(rows.where("not leaf").select("id", "content", *none, F.lit(False).alias("vec_indexed"), F.lit(False).alias("fts_indexed"), now))
+
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once beside the corpus and read back, so that two tables made of them agree."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def leaves(corpus: DataFrame) -> DataFrame:
@@ -131,20 +134,22 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
-def backfill_vectors(corpus: DataFrame, embed: Callable[[Column], Column], dimension: int | None = None) -> DataFrame:
-    """The corpus with vectors for leaves that had none; rows that have one are not embedded again."""
+def backfill_vectors(corpus: DataFrame, embed: object, dimension: int | None = None) -> DataFrame:
+    """The corpus with vectors for leaves that had none; only these rows reach the embedder."""
     if dimension is not None:
         check_dimension(corpus.where("embedding is not null"), dimension)
-    todo = leaves(corpus.where("not coalesce(vec_indexed, false)")).select(F.col("id").alias("todo"))
-    out = corpus.join(todo, F.col("id") == F.col("todo"), "left")
-    need = F.col("todo").isNotNull()
-    return out.withColumn("embedding", F.when(need, embed(F.col("content")).cast("array<float>")).otherwise(F.col("embedding"))).withColumn("vec_indexed", F.coalesce("vec_indexed", F.lit(False)) | need).drop("todo")
+    open_ = corpus.where("not coalesce(vec_indexed, false)")
+    parents = corpus.where("chunk_of is not null").select(F.col("chunk_of").alias("id")).distinct()
+    made = column_function(embed)(F.col("content")).cast("array<float>")
+    new = open_.join(parents, "id", "left_anti").select(corpus.columns).withColumn("embedding", made).withColumn("vec_indexed", F.lit(True))
+    rest = open_.join(parents, "id", "left_semi").select(corpus.columns).withColumn("vec_indexed", F.lit(False))
+    return corpus.where("coalesce(vec_indexed, false)").unionByName(new).unionByName(rest)
 
 
 def backfill_text(corpus: DataFrame, lemma: Callable[[str, str], str] | None = None) -> DataFrame:
-    """The corpus with lemmas for rows whose text is not indexed yet."""
-    need = ~F.coalesce("fts_indexed", F.lit(False))
-    return corpus.withColumn("content_lemmatized", F.when(need, X.lemmatize(F.col("content"), lemma)).otherwise(F.col("content_lemmatized"))).withColumn("fts_indexed", F.lit(True))
+    """The corpus with lemmas for rows whose text is not indexed yet; only these reach `lemma`."""
+    todo = corpus.where("not coalesce(fts_indexed, false)").withColumn("content_lemmatized", X.lemmatize(F.col("content"), lemma))
+    return corpus.where("coalesce(fts_indexed, false)").unionByName(todo.withColumn("fts_indexed", F.lit(True)))
 
 
 def backup(table: DataFrame, source: str, target: str) -> None:
