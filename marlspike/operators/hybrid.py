@@ -25,6 +25,11 @@ def hydrate(ranked: DataFrame, docs: DataFrame, text: str = "text", doc_id: str
     return docs.select(*columns).join(F.broadcast(ranked), "doc_id").select("doc_id", "score", "text", "metadata", "chunk_id")
 
 
+def taken(ranked: DataFrame, limit: int) -> DataFrame:
+    """A list of at most `limit` rows as a table that needs no further scan."""
+    return ranked.sparkSession.createDataFrame(ranked.limit(limit).collect(), ranked.schema)
+
+
 def with_rank(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
@@ -67,10 +72,11 @@ def hybrid_search(
     lemma: T.Lemma | None = None,
     index: str | None = None,
 ) -> DataFrame:
-    """(doc_id, score, text, metadata, chunk_id): one lazy plan from both scans to the hydrated top.
+    """(doc_id, score, text, metadata, chunk_id) of the best, hydrated.
 
-    Without a query vector it is full-text search with raw scores and no reranking. Fusion works on ids; texts
-    are joined to the bounded pool only. The query is cut into words and lemmatised by `lemma`, as the column
+    Without a query vector it is full-text search with raw scores and no reranking. Else both candidate lists, of
+    `fts_limit` and `vec_limit` ids and scores at most, are taken to the driver, since fusion looks at each several
+    times and would scan the corpus as often. Fusion works on ids; texts are joined to the bounded pool only. The query is cut into words and lemmatised by `lemma`, as the column
     `terms` is that it is looked up in (the text itself, if not named). With `index`, the place of a stored
     index of that column, no text is scanned.
     """
@@ -82,7 +88,7 @@ def hybrid_search(
     if query_vector is None:
         return hydrate(found, docs, text, doc_id)
     near = vector.relevance(vector.strategy(strategy)(vecs, query_vector, vec_limit))
-    fused = fusion.fuse(found, near, query, alpha).where(F.col("score") >= min_score)
+    fused = fusion.fuse(taken(found, fts_limit), taken(near, vec_limit), query, alpha).where(F.col("score") >= min_score)
     pool = (rerank_top_n or limit * 5) if reranker else limit
     rows = hydrate(fused.orderBy(F.desc("score"), "doc_id").limit(pool), docs, text, doc_id)
     return rerank(rows, query, reranker, limit) if reranker else rows

@@ -18,14 +18,22 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), buckets).cast("int")
 
 
+def _known_buckets(spark: SparkSession, path: str) -> int | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/sizes")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.parquet(f"{path}/sizes").agg(F.max("buckets")).head()[0]
+
+
 def add(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS) -> None:
-    """Adds documents to the index at `path`, which need not exist yet.
+    """Adds documents to the index at `path`, which need not exist yet; one that does keeps its number of buckets.
 
     `postings` holds (term, doc_id, tf, dl, positions) in folders by a hash of the term, sorted by term inside a
     file so that row groups are skipped too; `sizes` has one row an addition: documents, those with a text, and terms. Occurrences
     are shuffled once, to (bucket, salt), and counted there; a term that every document holds is spread over SALTS
     tasks.
     """
+    buckets = _known_buckets(docs.sparkSession, path) or buckets
     terms = docs.select(F.col(doc_id).alias("doc_id"), T.index_terms(F.col(text)).alias("terms"))
     terms.agg(F.count("*").alias("n"), F.count("terms").alias("texts"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("total"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("append").parquet(f"{path}/sizes")
     at = F.transform("terms", lambda x, i: F.struct(x.alias("term"), i.alias("at")))

@@ -382,6 +382,12 @@ def hybrid_search_rsf(spark, d):
     return rounded(found.select("doc_id", "score"), "score")
 
 
+@query(ORACLES["hybrid_search_rsf"])
+def hybrid_search_indexed(spark, d):
+    found = hybrid.hybrid_search(docs_(spark, d), vecs_(spark, d), "ndon", query_vector(spark, d), 10, index=_index(spark, d))
+    return rounded(found.select("doc_id", "score"), "score")
+
+
 _FEW = LISTS.replace("FROM hits ORDER BY score DESC, doc_id LIMIT 50", "FROM hits ORDER BY score DESC, doc_id LIMIT 2")
 
 
