@@ -31,7 +31,8 @@ _DROP = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|
 
 
 def strip_markup(page: str) -> str:
-    return html.unescape(_DROP.sub(" ", page))
+    """The text of a page, its white space as single spaces: what tags leave behind is no evidence."""
+    return " ".join(html.unescape(_DROP.sub(" ", page)).split())
 
 
 def trigrams(raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ class TextModel:
             n = np.diff(of)
             scale = np.minimum(n, MOST_TRIGRAMS) / np.maximum(n, 1)
             for k, log in enumerate(self.table):
-                upto = np.concatenate([[0.0], np.cumsum(log[bins])])
+                upto = np.concatenate([[0.0], np.cumsum(log[bins], dtype=np.float64)])
                 out[lo:hi, k] = (upto[of[1:]] - upto[of[:-1]]) * scale
         return out
 
