@@ -1,5 +1,6 @@
 import asyncio
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from marlspike.engine import AsyncEngine, Engine, Manager
 from marlspike.errors import DimensionError, EngineClosedError, SchemaError
 from marlspike.functions import vectors as V
 from marlspike.functions.chunkers import paragraph_chunker
+from marlspike.plans import catalog
 from marlspike.sources import corpus as C
 from marlspike.streaming import events as S
 
@@ -115,3 +117,9 @@ def test_stream_cooldown(spark, tmp_path):
     q = S.cooldown(S.read_stream(spark, str(tmp_path / "in")), "k", "t", 10).writeStream.format("memory").queryName("cool").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.t for r in spark.table("cool").collect()) == [0, 10, 25]
+
+
+def test_chunk_counts_pass_over_rows_without_content(spark, tmp_path):
+    spark.createDataFrame([(1, "one"), (2, None), (3, " "), (4, "a\0b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.parent // C.CHUNK_SPAN: (r.chunks, r.chars) for r in catalog.QUERIES["chunk_tree_counts"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 3), 4: (1, 3)}
