@@ -119,6 +119,16 @@ def test_stream_cooldown(spark, tmp_path):
     assert sorted(r.t for r in spark.table("cool").collect()) == [0, 10, 25]
 
 
+@pytest.mark.parametrize("name", ["ingest_leaves"])
+def test_rows_without_content_do_not_fail_a_table(spark, tmp_path, name):
+    rows = [(1, "one line\nand another"), (2, None), (3, ""), (4, "   "), (5, "a\0b c"), (6, "\n \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(db.execute(catalog.ORACLES[name]).fetchall(), key=str)
+
+
 def test_chunk_counts_pass_over_rows_without_content(spark, tmp_path):
     spark.createDataFrame([(1, "one"), (2, None), (3, " "), (4, "a\0b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.parent // C.CHUNK_SPAN: (r.chunks, r.chars) for r in catalog.QUERIES["chunk_tree_counts"](spark, str(tmp_path)).collect()}
