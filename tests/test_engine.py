@@ -119,7 +119,7 @@ def test_stream_cooldown(spark, tmp_path):
     assert sorted(r.t for r in spark.table("cool").collect()) == [0, 10, 25]
 
 
-@pytest.mark.parametrize("name", ["ingest_leaves"])
+@pytest.mark.parametrize("name", ["ingest_leaves", "parent_chunk_join"])
 def test_rows_without_content_do_not_fail_a_table(spark, tmp_path, name):
     rows = [(1, "one line\nand another"), (2, None), (3, ""), (4, "   "), (5, "a\0b c"), (6, "\n \n")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
