@@ -136,3 +136,23 @@ def test_neighbour_graph_in_blocks_is_exact(spark, sf):
         want |= {(i, j, n) for n, (_, j) in enumerate(near, 1)}
     got = {(r.src, r.dst, r["rank"]) for r in graph.knn_edges(vecs, 5, rows=50).collect()}
     assert got == want
+
+
+def test_neighbour_graph_shuffles_no_vectors_twice(spark, sf):
+    vecs = spark.read.parquet(f"{sf}/embeddings.parquet").limit(120)
+    edges = graph.knn_edges(vecs, 5, rows=10)
+    plan = edges._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "Generate" not in plan and "MapInArrow" in plan
+    got = edges.collect()
+    few = graph.knn_edges(vecs, 5, rows=10, sources=[3, 7]).collect()
+    assert sorted(map(tuple, few)) == sorted(tuple(r) for r in got if r.src in (3, 7)) and len(few) == 10
+
+
+def test_neighbour_graph_of_equal_vectors_and_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(0, [5.0, 5.0]), (41, [5.0, 5.0])]
+    edges = graph.knn_edges(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, rows=7)
+    got = {}
+    for r in edges.orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, r.dist))
+    assert got[0] == [(1, 0.0), (2, 0.0), (3, 0.0)] and got[9] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert got[41][0] == (0, 0.0) and len(got[41]) == 3
