@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,21 @@ def test_neighbour_graph_of_equal_vectors_and_repeated_ids(spark):
         got.setdefault(r.src, []).append((r.dst, r.dist))
     assert got[0] == [(1, 0.0), (2, 0.0), (3, 0.0)] and got[9] == [(0, 0.0), (1, 0.0), (2, 0.0)]
     assert got[41][0] == (0, 0.0) and len(got[41]) == 3
+
+
+def test_stored_index_packs_postings_before_they_travel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "GROUP", 40)  # several salts
+    rows = [(i, "the " * (i % 3 + 1) + f"word{i % 7} end") for i in range(60)] + [(5, "the end"), (5, "the end"), (None, "the null"), (90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text_index.add(docs, str(tmp_path / "index"), buckets=3)
+    want = {}
+    for i, t in rows:
+        words = (t or "").split()
+        for at, w in enumerate(words):
+            want.setdefault((w, i, len(words)), []).append(at)
+    got = text_index.postings(spark, str(tmp_path / "index")).collect()
+    assert len(got) == len(want)
+    assert {(r.term, r.doc_id, r.dl): (r.tf, r.positions) for r in got} == {k: (len(v), sorted(v)) for k, v in want.items()}
+    assert {r.bucket for r in got if r.term == "the"} == {spark.range(1).select(text_index.bucket_of(F.lit("the"), 3)).head()[0]}
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array([["a", "b"]] * 3), pa.array([[0, 1]] * 3, pa.list_(pa.int32()))], names=["doc_id", "salt", "terms", "buckets"])
+    assert [b.num_rows for b in text_index.packed([batch])] == [2]  # six postings of two buckets
