@@ -7,13 +7,17 @@ import logging
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 Lemma = Callable[[str, str], str]
 log = logging.getLogger(__name__)
+SLICE = 256  # rows of tokens that are lemmatised at a time
+KNOWN = 1 << 16
 CYRILLIC = r"Ѐ-ԯ"
 #: Latin letters with a mark and what is left without it; the letters of unicode text that decompose to ASCII.
 MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
@@ -72,6 +76,28 @@ def index_terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.array_join(tokenize(text), " ")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _lemmas(tokens: pa.Array, langs: pa.Array, lemma: Lemma, known: dict[tuple[str, str], str]) -> pa.Array:
+    """Joined lemmas of rows of tokens; words are Python objects once each, and `known` keeps at most KNOWN of them."""
+    size = pc.fill_null(pc.list_value_length(tokens), 0)
+    words = tokens.flatten().dictionary_encode()
+    codes = pc.fill_null(langs, "en").dictionary_encode()
+    of_row = np.repeat(np.asarray(codes.indices, np.int64), np.asarray(size))
+    n = max(len(words.dictionary), 1)
+    pairs, place = np.unique(of_row * n + np.asarray(words.indices, np.int64), return_inverse=True)
+    names = ["en" if c == "unknown" else c for c in codes.dictionary.to_pylist()]
+    if len(known) > KNOWN:
+        known.clear()
+    found = []
+    for pair, w in zip(pairs, words.dictionary.take(pa.array(pairs % n)).to_pylist()):
+        key = (w, names[pair // n])
+        if key not in known:
+            known[key] = lemma(*key)
+        found.append(known[key])
+    values = pa.array(found, pa.string()).take(pa.array(place.reshape(-1), pa.int64()))
+    ends = pa.array(np.append(0, np.cumsum(np.asarray(size))), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, values, mask=tokens.is_null()), " ")
+
+
 def lemmatize(text: Column, lemma: Callable[[str, str], str] | None = None, lang: Column | None = None) -> Column:
     """Lemmas of the tokens, joined by spaces. Without a `lemma(word, lang)` function tokens are their own lemmas."""
     if lemma is None:
@@ -81,11 +107,7 @@ def lemmatize(text: Column, lemma: Callable[[str, str], str] | None = None, lang
     @F.arrow_udf(StringType())
     def run(tokens: pa.Array, langs: pa.Array) -> pa.Array:
         known: dict[tuple[str, str], str] = {}
-        out = []
-        for words, code in zip(tokens.to_pylist(), langs.to_pylist()):
-            code = "en" if code in (None, "unknown") else code
-            out.append(None if words is None else " ".join(known.setdefault((w, code), lemma(w, code)) if (w, code) not in known else known[w, code] for w in words))
-        return pa.array(out, pa.string())
+        return pa.concat_arrays([pa.array([], pa.string()), *(_lemmas(tokens.slice(lo, SLICE), langs.slice(lo, SLICE), lemma, known) for lo in range(0, len(tokens), SLICE))])
 
     return run(tokenize(text), lang)
 

@@ -1,5 +1,6 @@
 import html
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,19 @@ def test_chunkers():
 def test_chunks_column(spark):
     got = column(spark, ["a b", " ", None], lambda t: K.chunks(t, lambda x: [p for p in x.split(" ")]))
     assert got == [["a", "b"], [" "], None]
+
+
+def test_lemmas_of_many_rows_hold_each_word_once(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN", 2)
+    asked = []
+
+    def lemma(word, lang):
+        asked.append((word, lang))
+        return None if word == "gone" else word + "/" + lang
+
+    rows = pa.array([["a1", "b", "a1"], None, [], ["b", "слово"], ["a1"] * 50])
+    got = T._lemmas(rows, pa.array(["en", None, "unknown", "ru", "unknown"]), lemma, {})
+    assert got.to_pylist() == ["a1/en b/en a1/en", None, "", "b/ru слово/ru", " ".join(["a1/en"] * 50)]
+    sliced = T._lemmas(rows.slice(3), pa.array(["ru", "unknown"]), lemma, known := {("x", "en"): "x", ("y", "en"): "y", ("z", "en"): "z"})
+    assert sliced.to_pylist() == got.to_pylist()[3:] and ("x", "en") not in known
+    assert T._lemmas(pa.array([], pa.list_(pa.string())), pa.array([], pa.string()), lemma, {}).to_pylist() == []
