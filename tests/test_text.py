@@ -123,3 +123,12 @@ def test_lemmas_of_many_rows_hold_each_word_once(monkeypatch):
     sliced = T._lemmas(rows.slice(3), pa.array(["ru", "unknown"]), lemma, known := {("x", "en"): "x", ("y", "en"): "y", ("z", "en"): "z"})
     assert sliced.to_pylist() == got.to_pylist()[3:] and ("x", "en") not in known
     assert T._lemmas(pa.array([], pa.list_(pa.string())), pa.array([], pa.string()), lemma, {}).to_pylist() == []
+
+
+def test_chunks_go_to_arrow_in_stretches(monkeypatch):
+    sizes, array = [], pa.array
+    monkeypatch.setattr(K, "HELD", 100)
+    monkeypatch.setattr(K.pa, "array", lambda values, *a: sizes.append(len(values)) or array(values, *a))
+    texts = ["x" * 60, "a b", None, "", "y" * 60, "z" * 500]
+    got = K.chunked(array(texts), lambda t: t.split(" "))
+    assert got.to_pylist() == [["x" * 60], ["a", "b"], None, [""], ["y" * 60], ["z" * 500]] and max(sizes) < len(texts)
