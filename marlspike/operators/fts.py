@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,20 @@ from ..functions import text as T
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+TASK_CHARS = 1 << 24
 
 
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf, positions): the inverted index of a corpus."""
-    terms = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(T.index_terms(F.col(text))).alias("pos", "term"))
+    """(doc_id, term, tf, positions): the inverted index of a corpus.
+
+    Texts are shuffled once, by id, before they are cut: rows of one document lie in one task from then on, so neither
+    this grouping nor one by document after it sends occurrences about. A task has TASK_CHARS characters or so.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    chars = own.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    parts = max(1, math.ceil(chars / TASK_CHARS), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / (1 << 20))))
+    own = own.repartition(parts, "doc_id")
+    terms = own.select("doc_id", F.posexplode(T.index_terms(F.col("text"))).alias("pos", "term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

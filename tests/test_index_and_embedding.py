@@ -175,3 +175,12 @@ def test_stored_index_packs_postings_before_they_travel(spark, tmp_path, monkeyp
     assert {r.bucket for r in got if r.term == "the"} == {spark.range(1).select(text_index.bucket_of(F.lit("the"), 3)).head()[0]}
     batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array([["a", "b"]] * 3), pa.array([[0, 1]] * 3, pa.list_(pa.int32()))], names=["doc_id", "salt", "terms", "buckets"])
     assert [b.num_rows for b in text_index.packed([batch])] == [2]  # six postings of two buckets
+
+
+def test_postings_of_documents_shuffle_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(fts, "TASK_CHARS", 5)
+    docs = spark.createDataFrame([(1, "foo bar foo"), (2, "bar"), (1, "foo"), (3, None), (4, "")], "doc_id long, text string")
+    rows = fts.postings(docs)
+    assert {(r.doc_id, r.term): (r.tf, r.positions) for r in rows.collect()} == {(1, "foo"): (3, [0, 0, 2]), (1, "bar"): (1, [1]), (2, "bar"): (1, [0])}
+    plan = rows.groupBy("doc_id").agg(F.sum("tf"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange") == 1
